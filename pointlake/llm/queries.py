@@ -1,13 +1,15 @@
 """Queries of the corpus operators, and their SQL where there is one."""
 
-from . import exact_dedup, minhash_dedup, sharding
+from . import exact_dedup, language_id, minhash_dedup, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_jump_sharding": sharding.op4_jump_sharding,
+        "op5_language_id": language_id.op5_language_id,
         "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
