@@ -102,14 +102,24 @@ class Words:
     A word is a maximal run of ASCII letters, digits and bytes from 0x80 on, letters
     in lower case. Its hash is a polynomial over its bytes mod 2**64, taken as a
     difference of prefix sums and divided by the power at its start.
+
+    With ``whitespace_only`` a word is a run without white space; with ``marks`` a run of
+    other visible bytes is a word too.
     """
 
-    def __init__(self, whitespace_only: bool = False):
+    def __init__(self, whitespace_only: bool = False, marks: bool = False):
+        self.kinds = None
         lut = np.zeros(256, np.uint8)
         for b in range(256):
             ch = chr(b)
             if b >= 0x80 or (ch.isalnum() if not whitespace_only else b > 32 and b != 127):
                 lut[b] = ord(ch.lower()) if b < 0x80 else b
+        if marks:
+            kinds = (lut != 0).astype(np.uint8)
+            for b in range(33, 127):
+                if not lut[b]:
+                    kinds[b], lut[b] = 2, b
+            self.kinds = kinds
         self.lut = lut
         self.size = 0
 
@@ -136,14 +146,25 @@ class Words:
         before[0] = False
         before[1:] = is_w[:-1]
         before[first] = False
-        start = np.flatnonzero(is_w & ~before)
+        turn = np.zeros(n, bool)  # where another kind of word begins
+        if self.kinds is not None:
+            kind = self.kinds[data]
+            turn[1:] = is_w[1:] & is_w[:-1] & (kind[1:] != kind[:-1])
+        start = np.flatnonzero(is_w & (~before | turn))
         after = np.empty(n, bool)
         after[-1] = False
         after[:-1] = is_w[1:]
         after[first[first > 0] - 1] = False
+        after[:-1] &= ~turn[1:]
         end = np.flatnonzero(is_w & ~after) + 1
         acc = np.empty(n + 1, np.uint64)
         acc[0] = 0
         np.cumsum(low * self.pw[:n], out=acc[1:])
         h = mix((acc[end] - acc[start]) * self.inv[start] + (end - start).astype(np.uint64))
+        self.acc = acc
         return h, start, end, np.searchsorted(start, offs)
+
+    def stems(self, start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of words of the last call."""
+        stop = np.minimum(start + size, end)
+        return mix((self.acc[stop] - self.acc[start]) * self.inv[start] + np.uint64(1 << 32))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import c, documents, materialise, small, text_chunks
+from .common import c, documents, fresh, materialise, small, text_chunks
 
 SLOT_BITS = 16
 UNKNOWN = "und"
@@ -216,8 +216,9 @@ def keep_known(spark: SparkSession, docs: DataFrame) -> DataFrame:
     together; rows with a null text go.
     """
     out = materialise(spark, rejected(spark, docs), "rejected")
-    out = small(out.select(F.col("doc_id").alias("r_id"), F.col("source").alias("r_source"), F.col("h").alias("r_h")), 48)
-    same = c("doc_id").eqNullSafe(F.col("r_id")) & c("source").eqNullSafe(F.col("r_source")) & (F.xxhash64(c("text")) == F.col("r_h"))
+    i, o, h = fresh(docs, "r_id", "r_source", "r_h")
+    out = small(out.select(F.col("doc_id").alias(i), F.col("source").alias(o), F.col("h").alias(h)), 48)
+    same = c("doc_id").eqNullSafe(c(i)) & c("source").eqNullSafe(c(o)) & F.xxhash64(c("text")).eqNullSafe(c(h))
     return docs.join(out, same, "left_anti")
 
 

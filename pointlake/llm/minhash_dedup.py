@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, c, documents, materialise, mix, small, text_chunks
+from .common import Words, c, documents, fresh, materialise, mix, small, text_chunks
 
 SHINGLE = 3
 BINS = 128
@@ -209,9 +209,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", ke
 
 def keep_one(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", bands: int = BANDS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` doesn't report, all columns kept."""
-    gone = materialise(spark, near_duplicates(spark, docs, text, key, bands, threshold).select("doc_id"), "gone")
-    gone = small(gone, 16)
-    return docs.join(gone, c(key) == gone["doc_id"], "left_anti")
+    (g,) = fresh(docs, "gone")
+    gone = near_duplicates(spark, docs, text, key, bands, threshold).select(F.col("doc_id").alias(g))
+    return docs.join(small(materialise(spark, gone, "gone"), 16), c(key) == c(g), "left_anti")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
