@@ -156,37 +156,55 @@ def identify(spark: SparkSession, records: DataFrame, model: tuple[list[str], np
     sums = [F.sum(f"q_{k}").alias(f"s_{k}") for k in range(L)]
     whole = scored.agg(*sums).first()
     n = np.array([x or 0.0 for x in whole]) + 1.0
-    base = n / n.sum()
     out = scored
     for level in ("host", "domain", "suffix", "markup"):
         g = scored.where(c(level).isNotNull()).groupBy(c(level).alias(f"by_{level}")).agg(*[F.sum(f"q_{k}").alias(f"{level}_{k}") for k in range(L)])
         g = materialise(spark, g, level)
-        rows = g.count()
         out = out.join(small(g, 64 + 8 * L), c(level) == F.col(f"by_{level}"), "left").drop(f"by_{level}")
         if level == "markup":
-            values_markup = rows
-    prior = [F.lit(float(x)) for x in base]
+            n_markup = g.count()
+    result = fields + ", lang string, posterior double, accepted boolean"
+    if "lang" in rest or "posterior" in rest or "accepted" in rest:
+        raise ValueError("lang, posterior and accepted are columns of the result")
+    return out.mapInArrow(_fused(langs, out.columns, len(rest), n, n_markup), result)
+
+
+def fuse(q: np.ndarray, ll: np.ndarray, trigrams: np.ndarray, seen: dict[str, np.ndarray], has_markup: np.ndarray, total: np.ndarray, n_markup: int) -> np.ndarray:
+    """(rows x languages and unknown) posteriors.
+
+    ``q``: own text-only posteriors; ``seen``: by level, the summed posteriors of the records
+    that share its value (0 where there is none); ``total``: those of the whole table.
+    """
+    prior = np.broadcast_to(total / total.sum(), q.shape)
     for level in ("suffix", "domain", "host"):
-        own = [F.greatest(F.coalesce(F.col(f"{level}_{k}") - F.col(f"q_{k}"), F.lit(0.0)), F.lit(0.0)) for k in range(L)]
-        seen = reduce(lambda a, b: a + b, own)
-        names = [f"{level}_p{k}" for k in range(L)]
-        out = out.withColumns({names[k]: (own[k] + LEVEL * prior[k]) / (seen + LEVEL) for k in range(L)})
-        prior = [F.col(x) for x in names]
-    logs = []
-    for k in range(L):
-        x = F.log(prior[k] * (1 - P_UNKNOWN)) + F.col(f"ll_{k}") * WEIGHT
-        # the suffix is in the prior by its own counts already; markup is evidence of its own
-        seen = F.coalesce(F.greatest(F.col(f"markup_{k}") - F.col(f"q_{k}"), F.lit(0.0)), F.lit(0.0))
-        x += F.when(c("markup").isNull(), 0.0).otherwise(F.log((seen + VALUE) / (float(n[k]) + VALUE * (values_markup + 1))))
-        logs.append(x)
-    und = float(np.log(P_UNKNOWN)) + unknown * WEIGHT + F.when(c("markup").isNull(), 0.0).otherwise(float(-np.log(values_markup + 1)))
-    out = out.withColumns({f"lp_{k}": logs[k] for k in range(L)} | {"lp_und": und})
-    total, _ = _softmax([*[F.col(f"lp_{k}") for k in range(L)], F.col("lp_und")])
-    top = F.greatest(*[F.col(f"lp_{k}") for k in range(L)], F.col("lp_und"))
-    best = reduce(lambda e, k: e.when(F.col(f"lp_{k}") == top, langs[k]), range(1, L), F.when(F.col("lp_0") == top, langs[0])).otherwise(UNKNOWN)
-    out = out.withColumns({"lang": best, "posterior": 1 / total})
-    accepted = (F.col("bytes") > 0) & (F.col("lang") != UNKNOWN) & (F.col("posterior") >= ACCEPT)
-    return out.select(*[c(x) for x in rest], "lang", "posterior", accepted.alias("accepted"))
+        others = np.maximum(seen[level] - q, 0.0)
+        prior = (others + LEVEL * prior) / (others.sum(1, keepdims=True) + LEVEL)
+    lp = np.log(prior * (1 - P_UNKNOWN)) + WEIGHT * ll
+    declared = np.log((np.maximum(seen["markup"] - q, 0.0) + VALUE) / (total + VALUE * (n_markup + 1)))
+    lp += np.where(has_markup[:, None], declared, 0.0)
+    und = np.log(P_UNKNOWN) - WEIGHT * trigrams * np.log(1 << SLOT_BITS) - np.where(has_markup, np.log(n_markup + 1), 0.0)
+    lp = np.concatenate([lp, und[:, None]], 1)
+    p = np.exp(lp - lp.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _fused(langs: list[str], names: list[str], n_rest: int, total: np.ndarray, n_markup: int):
+    L = len(langs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = {x: i for i, x in enumerate(names)}
+            block = lambda p: np.stack([b.column(at[f"{p}_{k}"]).fill_null(0.0).to_numpy(zero_copy_only=False) for k in range(L)], 1)
+            seen = {x: block(x) for x in ("suffix", "domain", "host", "markup")}
+            has = b.column(at["markup"]).is_valid().to_numpy(zero_copy_only=False)
+            p = fuse(block("q"), block("ll"), b.column(at["trigrams"]).to_numpy(), seen, has, total, n_markup)
+            best = p.argmax(1)
+            top = p[np.arange(len(p)), best]
+            ok = (b.column(at["bytes"]).to_numpy() > 0) & (best < L) & (top >= ACCEPT)
+            cols = [*b.columns[:n_rest], pa.array([(*langs, UNKNOWN)[k] for k in best], pa.string()), pa.array(top), pa.array(ok)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names[:n_rest], "lang", "posterior", "accepted"])
+
+    return run
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
