@@ -1,10 +1,11 @@
 """Queries of the corpus operators, and their SQL where there is one."""
 
-from . import exact_dedup, language_id, minhash_dedup, mixing, packing, sharding
+from . import exact_dedup, language_id, minhash_dedup, mixing, packing, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_jump_sharding": sharding.op4_jump_sharding,
