@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where there is one."""
 
-from . import exact_dedup, language_id, minhash_dedup, mixing, packing, sharding, toxicity
+from . import ctw, exact_dedup, language_id, minhash_dedup, mixing, packing, sharding, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_jump_sharding": sharding.op4_jump_sharding,
         "op5_language_id": language_id.op5_language_id,
+        "op6_ctw_scoring": ctw.op6_ctw_scoring,
         "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
