@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where there is one."""
 
-from . import ctw, exact_dedup, language_id, licenses, minhash_dedup, mixing, packing, sharding, toxicity
+from . import ctw, exact_dedup, language_id, licenses, media, minhash_dedup, mixing, packing, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_jump_sharding": sharding.op4_jump_sharding,
         "op5_language_id": language_id.op5_language_id,
         "op6_ctw_scoring": ctw.op6_ctw_scoring,
+        "op7_media_copies": media.op7_media_copies,
         "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
