@@ -1,4 +1,486 @@
-"""Queries of the retrieval engine and the SQL each must agree with."""
+"""Queries of the retrieval engine and the SQL each must agree with.
+
+Scores are ordered in single precision and shown rounded, as their last digits depend on the order of sums.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import quant, text, vectors
+from .functions.filters import Filter
+from .operators import ann, lexical, search, table
+from .plans.catalog import Database
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _vecs(spark, d) -> DataFrame:
+    """The collection of embeddings: id, slot, vector, payload."""
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label")).alias("payload"), "label")
+
+
+def _docs(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.to_json(F.struct("lang", "source", "n_chars")).alias("payload"))
+
+
+def _events(spark, d) -> DataFrame:
+    return _t(spark, d, "events").select(F.col("event_id").alias("id"), "event_type", F.col("props").alias("payload"))
+
+
+def _vector(spark, d, vec_id: int = 0) -> list[float]:
+    return list(_t(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
+
+
+def _shown(df: DataFrame, digits: int = 5) -> DataFrame:
+    return df.withColumn("score", F.round(F.col("score").cast("double"), digits))
+
+
+def _kept(df: DataFrame, spec: dict) -> DataFrame:
+    return df.where(Filter.from_json(spec).compile(F.col("payload")))
+
+
+_Q0 = "q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)"
+_DOT = "list_dot_product(e.embedding::DOUBLE[], q.v)"
+_COS = f"({_DOT} / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.v, q.v))))"
+_L2 = "sqrt(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+
+
+def _top(score: str, order: str = "DESC", where: str = "") -> str:
+    return f"WITH {_Q0}, s AS (SELECT e.vec_id AS id, ({score})::FLOAT AS f FROM embeddings e, q {where}) SELECT id, round(f::DOUBLE, 5) AS score FROM s ORDER BY f {order}, id LIMIT 10"
+
+
+@_query(_top(_COS))
+def q01_knn_cosine_top10(spark, d):
+    return _shown(search.knn(_vecs(spark, d), _vector(spark, d), 10, "cosine").select("id", "score"))
+
+
+@_query(_top(_L2, "ASC"))
+def q02_knn_euclidean_top10(spark, d):
+    return _shown(search.knn(_vecs(spark, d), _vector(spark, d), 10, "euclidean").select("id", "score"))
+
+
+@_query(_top(_DOT))
+def q03_knn_dot_top10(spark, d):
+    return _shown(search.knn(_vecs(spark, d), _vector(spark, d), 10, "dot").select("id", "score"))
+
+
+@_query(
+    f"WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 10), s AS (SELECT qid, e.vec_id AS id, ({_COS})::FLOAT AS f FROM embeddings e, q), "
+    "r AS (SELECT qid, id, f, row_number() OVER (PARTITION BY qid ORDER BY f DESC, id) AS rank FROM s) SELECT qid, id, rank::INTEGER AS rank, round(f::DOUBLE, 5) AS score FROM r WHERE rank <= 10"
+)
+def q04_batch_knn(spark, d):
+    q = _t(spark, d, "embeddings").where("vec_id < 10").orderBy("vec_id").collect()
+    out = search.batch_knn(_vecs(spark, d), [r["embedding"] for r in q], 10, "cosine", qids=[r["vec_id"] for r in q])
+    return _shown(out.select("qid", "id", "rank", "score"))
+
+
+@_query(_top(_COS, where="WHERE e.label = 3"))
+def q05_knn_eq_int(spark, d):
+    rows = _kept(_vecs(spark, d), {"must": [{"key": "label", "match": {"value": 3}}]})
+    return _shown(search.knn(rows, _vector(spark, d), 10, "cosine").select("id", "score"))
+
+
+@_query("SELECT doc_id AS id FROM documents WHERE lang IN ('de', 'fr')")
+def q06_filter_in(spark, d):
+    return _kept(_docs(spark, d), {"must": [{"key": "lang", "match": {"any": ["de", "fr"]}}]}).select("id")
+
+
+@_query("SELECT event_type, count(*) AS n FROM events WHERE json_extract(props, '$.k')::DOUBLE >= 50 GROUP BY 1")
+def q07_filter_range(spark, d):
+    return _kept(_events(spark, d), {"must": [{"key": "k", "range": {"gte": 50}}]}).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT vec_id AS id FROM embeddings WHERE label % 3 <> 0")
+def q08_filter_exists(spark, d):
+    rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.expr("case label % 3 when 0 then '{\"other\": 1}' when 1 then '{\"tag\": null}' else '{\"tag\": \"x\"}' end").alias("payload"))
+    return _kept(rows, {"must": [{"key": "tag", "exists": True}]}).select("id")
+
+
+@_query("SELECT doc_id AS id FROM documents WHERE n_chars >= 500 AND (lang = 'en' OR source = 'src1') AND NOT coalesce(source = 'src0', false)")
+def q09_filter_must_should_not(spark, d):
+    spec = {"must": [{"key": "n_chars", "range": {"gte": 500}}], "should": [{"key": "lang", "match": {"value": "en"}}, {"key": "source", "match": {"value": "src1"}}], "must_not": [{"key": "source", "match": {"value": "src0"}}]}
+    return _kept(_docs(spark, d), spec).select("id")
+
+
+@_query("SELECT doc_id AS id FROM documents WHERE (lang = 'de' AND n_chars < 2000) OR (lang = 'es' AND NOT source IN ('src0', 'src1'))")
+def q10_filter_nested(spark, d):
+    eq = lambda k, v: {"key": k, "match": {"value": v}}
+    spec = {"should": [{"must": [eq("lang", "de"), {"key": "n_chars", "range": {"lt": 2000}}]}, {"must": [eq("lang", "es")], "must_not": [{"key": "source", "match": {"any": ["src0", "src1"]}}]}]}
+    return _kept(_docs(spark, d), spec).select("id")
+
+
+@_query("SELECT count(*) AS number_as_keyword, 0::BIGINT AS keyword_as_number, 0::BIGINT AS keyword_in_range FROM embeddings WHERE false")
+def q11_filter_type_mismatch(spark, d):
+    v, e = _vecs(spark, d), _docs(spark, d)
+    n = [_kept(v, {"must": [{"key": "label", "match": {"value": "3"}}]}), _kept(e, {"must": [{"key": "lang", "match": {"value": 1}}]}), _kept(e, {"must": [{"key": "source", "range": {"gte": 0}}]})]
+    a, b, c = (x.agg(F.count("*").alias(k)) for x, k in zip(n, ("number_as_keyword", "keyword_as_number", "keyword_in_range")))
+    return a.crossJoin(b).crossJoin(c)
+
+
+@_query("SELECT doc_id AS id, lang FROM documents WHERE doc_id > 40 ORDER BY doc_id LIMIT 26")
+def q12_scroll_page(spark, d):
+    return table.page(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id", 40, 25)
+
+
+@_query("SELECT doc_id AS id FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 26")
+def q13_scroll_filtered(spark, d):
+    return table.page(_kept(_docs(spark, d), {"must": [{"key": "lang", "match": {"value": "en"}}]}), "id", None, 25).select("id")
+
+
+_DEAD = "event_type = 'error'"
+
+
+@_query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT user_id, event_id, event_type, value FROM r WHERE n = 1 AND NOT {_DEAD}")
+def q14_latest_upsert_view(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    return table.live_view(e, "user_id", "event_id", F.expr(_DEAD))
+
+
+@_query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def q15_delete_antijoin(spark, d):
+    return table.without(_t(spark, d, "documents").select("doc_id", "lang"), _t(spark, d, "labels").where("toxic = 1"), "doc_id")
+
+
+@_query(
+    f"WITH r AS (SELECT user_id, {_DEAD} AS dead, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events), a AS (SELECT count(*) AS len FROM r WHERE n = 1 AND NOT dead) "
+    "SELECT a.len, (SELECT count(*) FROM r WHERE NOT dead) - a.len AS tombstones FROM a"
+)
+def q16_stats(spark, d):
+    return table.stats(_t(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.expr(_DEAD))
+
+
+_SPLIT = r"regexp_split_to_array(lower(text), '[\s\x{0085}\p{Z}]+')"
+_CLEAN = r"list_filter(list_transform({}, lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda x: x <> '')"
+_ANY = _CLEAN.format(_SPLIT)
+_LONG = _CLEAN.format(f"list_filter({_SPLIT}, lambda x: strlen(x) > 2)")
+_GRAMS = "CASE WHEN length(text) < 3 THEN [lower(text)] ELSE list_transform(range(1, length(text) - 1), lambda i: substring(lower(text), i, 3)) END"
+
+
+def _tokens_sql(expr: str) -> str:
+    return f"WITH t AS (SELECT doc_id, {expr} AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM t"
+
+
+def _token_counts(spark, d, f) -> DataFrame:
+    t = _t(spark, d, "documents").where("text is not null").select("doc_id", f(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("bigint").alias("n"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
+
+
+@_query(_tokens_sql(_ANY))
+def q17_tokenize_words(spark, d):
+    return _token_counts(spark, d, text.words_any)
+
+
+@_query(_tokens_sql(_LONG))
+def q18_tokenize_long_words(spark, d):
+    return _token_counts(spark, d, text.words_long)
+
+
+@_query(_tokens_sql(_GRAMS))
+def q19_char_ngrams(spark, d):
+    return _token_counts(spark, d, text.char_ngrams)
+
+
+_DIM = 512
+
+
+def _base_sql(expr: str, order: str = "cf DESC, term") -> str:
+    return f"""WITH toks AS (SELECT doc_id, {expr} AS t FROM documents WHERE text IS NOT NULL),
+st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM toks),
+tf AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS c FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY 1, 2),
+terms AS (SELECT term, sum(c)::BIGINT AS cf, count(*) AS df FROM tf GROUP BY 1),
+vocab AS (SELECT term, cf, df, n, mean, greatest(0.0, ln(n / df)) AS idf FROM terms, st ORDER BY {order} LIMIT {_DIM})"""
+
+
+_BEST_TFIDF = "cf * greatest(0.0, ln(n / df)) DESC, term"
+
+
+def _vocabulary(spark, d, name: str, columns=("term", "cf", "df")) -> DataFrame:
+    e = lexical.build_provider(name, _DIM)
+    docs = _t(spark, d, "documents").select("text")
+    if name == "tfidf":
+        e.n_docs = e.stats(docs).first()[0]
+    return e.vocabulary(docs).select(*columns)
+
+
+@_query(_base_sql(_ANY) + " SELECT term, cf, df FROM vocab")
+def q20_vocabulary_bm25(spark, d):
+    return _vocabulary(spark, d, "bm25")
+
+
+@_query(_base_sql(_LONG, _BEST_TFIDF) + " SELECT term, cf, df FROM vocab")
+def q21_vocabulary_tfidf(spark, d):
+    return _vocabulary(spark, d, "tfidf")
+
+
+@_query(_base_sql(_LONG) + " SELECT term, cf FROM vocab")
+def q22_vocabulary_bow(spark, d):
+    return _vocabulary(spark, d, "bow", ("term", "cf"))
+
+
+@_query(_base_sql(_GRAMS) + " SELECT term, cf FROM vocab")
+def q23_vocabulary_char_ngram(spark, d):
+    return _vocabulary(spark, d, "char_ngram", ("term", "cf"))
+
+
+@_query(_base_sql(_ANY) + " SELECT n AS n_docs, round(mean, 6) AS mean_length FROM st")
+def q24_bm25_stats(spark, d):
+    return lexical.Bm25(_DIM).stats(_t(spark, d, "documents").select("text")).withColumn("mean_length", F.round("mean_length", 6))
+
+
+_ASKED = "with the that from and other"
+
+
+def _search_sql(expr: str, weight: str, order: str = "cf DESC, term") -> str:
+    """``weight``: of a term, from its count c, the text's length dl, and the vocabulary."""
+    asked = expr.replace("text", f"'{_ASKED}'")
+    return (
+        _base_sql(expr, order)
+        + f""", w AS (SELECT doc_id, term, {weight} AS x FROM tf JOIN vocab USING (term)),
+qt AS (SELECT term, any_value(dl) AS dl, count(*) AS c FROM (SELECT len(t) AS dl, unnest(t) AS term FROM (SELECT {asked} AS t)) GROUP BY 1),
+qw AS (SELECT term, {weight} AS y FROM qt JOIN vocab USING (term)),
+dn AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM w GROUP BY 1),
+qn AS (SELECT sqrt(sum(y * y)) AS norm FROM qw),
+s AS (SELECT doc_id, sum(x * y) AS dot FROM w JOIN qw USING (term) GROUP BY 1),
+f AS (SELECT toks.doc_id AS id, round(coalesce(dot / (dn.norm * (SELECT norm FROM qn)), 0.0), 4) AS score FROM toks LEFT JOIN s USING (doc_id) LEFT JOIN dn USING (doc_id))
+SELECT id, score FROM f ORDER BY score DESC, id LIMIT 10"""
+    )
+
+
+def _searched(spark, d, name: str) -> DataFrame:
+    """Top 10 by the rounded score, so both sides break ties alike."""
+    e = lexical.build_provider(name, _DIM)
+    docs = _t(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    e.fit(docs)
+    q = vectors.lit_vector(e.embed(_ASKED))
+    rows = docs.select("id", F.round(vectors.dot(e.embed_column(F.col("text")), q), 4).alias("score"))
+    return rows.orderBy(F.col("score").desc(), "id").limit(10)
+
+
+@_query(_search_sql(_ANY, "ln((n - df + 0.5) / (df + 0.5) + 1) * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * dl / mean))"))
+def q25_bm25_search(spark, d):
+    return _searched(spark, d, "bm25")
+
+
+@_query(_search_sql(_LONG, "c / dl * idf", _BEST_TFIDF))
+def q26_tfidf_search(spark, d):
+    return _searched(spark, d, "tfidf")
+
+
+@_query(_search_sql(_LONG, "c"))
+def q27_bow_search(spark, d):
+    return _searched(spark, d, "bow")
+
+
+@_query(_search_sql(_GRAMS, "c"))
+def q28_char_ngram_search(spark, d):
+    return _searched(spark, d, "char_ngram")
+
+
+def _sparse(spark, d) -> DataFrame:
+    """Embeddings with a sparse lane: the components beyond 0.2."""
+    big = F.transform("embedding", lambda x: F.when(F.abs(x) > 0.2, x).otherwise(F.lit(0.0).cast("float")))
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), vectors.sparse_from_dense(big).alias("sparse"), F.to_json(F.struct("label")).alias("payload"))
+
+
+def _sparse_of(v: list[float]) -> dict:
+    ix = [i for i, x in enumerate(np.asarray(v, np.float32)) if abs(x) > 0.2]
+    return {"indices": ix, "values": [v[i] for i in ix]}
+
+
+_LANE = "sp AS (SELECT vec_id, label, i, x FROM (SELECT vec_id, label, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) WHERE abs(x) > 0.2)"
+_SPARSE = "ss AS (SELECT a.vec_id AS id, sum(a.x::DOUBLE * b.x::DOUBLE)::FLOAT AS f FROM sp a JOIN sp b ON a.i = b.i AND b.vec_id = 0 {} GROUP BY 1 HAVING sum(a.x::DOUBLE * b.x::DOUBLE)::FLOAT <> 0)"
+
+
+@_query(f"WITH {_LANE}, {_SPARSE.format('')} SELECT id, round(f::DOUBLE, 5) AS score FROM ss ORDER BY f DESC, id LIMIT 10")
+def q29_sparse_search(spark, d):
+    return _shown(search.sparse_search(_sparse(spark, d), _sparse_of(_vector(spark, d)), 10))
+
+
+def _rrf_sql(alpha: float, where: str = "") -> str:
+    cond = f"WHERE {where}" if where else ""
+    return f"""WITH {_Q0}, {_LANE}, {_SPARSE.format("WHERE a." + where if where else "")},
+s AS (SELECT e.vec_id AS id, ({_COS})::FLOAT AS f FROM embeddings e, q {cond}),
+dl AS (SELECT id, row_number() OVER (ORDER BY f DESC, id) AS r FROM (SELECT * FROM s ORDER BY f DESC, id LIMIT 100)),
+sl AS (SELECT id, row_number() OVER (ORDER BY f DESC, id) AS r FROM (SELECT * FROM ss ORDER BY f DESC, id LIMIT 100)),
+u AS (SELECT coalesce(dl.id, sl.id) AS id, dl.r AS dr, (coalesce({alpha} / (60.0 + dl.r), 0) + coalesce({1 - alpha} / (60.0 + sl.r), 0))::FLOAT AS f FROM dl FULL JOIN sl ON dl.id = sl.id)
+SELECT id, round(f::DOUBLE, 6) AS score FROM u ORDER BY f DESC, dr ASC NULLS LAST, id LIMIT 10"""
+
+
+def _hybrid(spark, d, alpha: float, spec: dict | None = None) -> DataFrame:
+    rows, v = _sparse(spark, d), _vector(spark, d)
+    return _shown(search.hybrid(_kept(rows, spec) if spec else rows, v, _sparse_of(v), 10, alpha), 6)
+
+
+@_query(_rrf_sql(0.5))
+def q30_rrf_hybrid(spark, d):
+    return _hybrid(spark, d, 0.5)
+
+
+@_query(_rrf_sql(0.0))
+def q31_hybrid_sparse_only_weight(spark, d):
+    return _hybrid(spark, d, 0.0)
+
+
+@_query(_rrf_sql(1.0))
+def q32_hybrid_dense_only_weight(spark, d):
+    return _hybrid(spark, d, 1.0)
+
+
+@_query(_rrf_sql(0.5, "label < 5"))
+def q33_hybrid_filtered(spark, d):
+    return _hybrid(spark, d, 0.5, {"must": [{"key": "label", "range": {"lt": 5}}]})
+
+
+@_query(_top(_COS))
+def q34_hybrid_single_lane(spark, d):
+    return _shown(search.hybrid(_sparse(spark, d), _vector(spark, d), None, 10))
+
+
+@_query("SELECT vec_id, i, round(x / n, 5) AS x FROM (SELECT vec_id, unnest(range(0, len(v))) AS i, unnest(v) AS x, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda y: y * 3 + 1) AS v FROM embeddings))")
+def q35_normalize(spark, d):
+    v = F.transform("embedding", lambda y: y.cast("double") * 3 + 1)
+    return _t(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.normalize(v)).alias("i", "x")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+@_query(f"WITH {_Q0} SELECT vec_id, round(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.v), lambda z: abs(z[1] - z[2]))), 6) AS l1, round({_L2}, 6) AS l2, round({_DOT}, 6) AS dot FROM embeddings e, q")
+def q36_vector_kernels(spark, d):
+    q = vectors.lit_vector(_vector(spark, d))
+    e = F.col("embedding")
+    return _t(spark, d, "embeddings").select("vec_id", F.round(vectors.manhattan(e, q), 6).alias("l1"), F.round(vectors.l2(e, q), 6).alias("l2"), F.round(vectors.dot(e, q), 6).alias("dot"))
+
+
+@_query(f"WITH {_LANE} SELECT vec_id, i, round(x::DOUBLE, 6) AS x FROM sp")
+def q37_sparse_from_dense(spark, d):
+    s = _sparse(spark, d).where("sparse is not null").select(F.col("id").alias("vec_id"), F.explode(F.arrays_zip("sparse.indices", "sparse.values")).alias("e"))
+    return s.select("vec_id", F.col("e.indices").alias("i"), F.round(F.col("e.values").cast("double"), 6).alias("x"))
+
+
+_LIMITS = "b AS (SELECT min(x)::DOUBLE AS lo, max(x)::DOUBLE AS hi FROM (SELECT unnest(embedding) AS x FROM embeddings)), e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+_CODE = "least(greatest(round((x - lo) / ((hi - lo) / {0})), 0), {0})::INTEGER"
+
+
+def _limits(spark, d) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    return e.crossJoin(F.broadcast(e.agg(F.min(F.array_min("embedding")).cast("double").alias("lo"), F.max(F.array_max("embedding")).cast("double").alias("hi"))))
+
+
+@_query(f"WITH {_LIMITS} SELECT vec_id, i, {_CODE.format('255.0')} AS code FROM e, b")
+def q38_sq8_encode(spark, d):
+    return _limits(spark, d).select("vec_id", F.posexplode(quant.sq8_codes(F.col("embedding"), F.col("lo"), F.col("hi"))).alias("i", "code")).withColumn("i", F.col("i").cast("bigint"))
+
+
+@_query(f"WITH {_LIMITS} SELECT round(avg(pow(lo + {_CODE.format('255.0')} * ((hi - lo) / 255.0) - x, 2)) * 1e6, 4) AS mse_millionth FROM e, b")
+def q39_sq8_error(spark, d):
+    back = quant.sq8_decode(quant.sq8_codes(F.col("embedding"), F.col("lo"), F.col("hi")), F.col("lo"), F.col("hi"))
+    err = _limits(spark, d).select(F.explode(F.zip_with(back, "embedding", lambda a, b: F.pow(a - b.cast("double"), F.lit(2.0)))).alias("x"))
+    return err.agg(F.round(F.avg("x") * 1e6, 4).alias("mse_millionth"))
+
+
+_MEDIAN = "m AS (SELECT x AS t FROM (SELECT x, row_number() OVER (ORDER BY x) AS r, count(*) OVER () AS n FROM (SELECT unnest(embedding) AS x FROM embeddings)) WHERE r = n // 2 + 1)"
+
+
+@_query(f"WITH {_MEDIAN}, e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) SELECT vec_id, (sum(CASE WHEN x > t AND i < 63 THEN 1::HUGEINT << i::INTEGER ELSE 0 END))::BIGINT AS bits, max(x > t AND i = 63) AS top FROM e, m GROUP BY 1")
+def q40_binary_codes(spark, d):
+    e = _t(spark, d, "embeddings")
+    t = float(quant.BinaryCodec().fit(e, "embedding").threshold)
+    bit = F.transform("embedding", lambda x, i: F.when((x > F.lit(t).cast("float")) & (i < 63), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    return e.select("vec_id", F.aggregate(bit, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)).alias("bits"), (F.element_at("embedding", 64) > F.lit(t).cast("float")).alias("top"))
+
+
+@_query(f"WITH {_MEDIAN}, e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings), b AS (SELECT vec_id, i, x > t AS bit FROM e, m) SELECT a.vec_id, round(1 - sum((a.bit <> z.bit)::INTEGER) / 64.0, 6) AS similarity FROM b a JOIN b z ON a.i = z.i AND z.vec_id = 0 GROUP BY 1")
+def q41_hamming(spark, d):
+    codes = q40_binary_codes(spark, d)
+    z = codes.where("vec_id = 0").select(F.col("bits").alias("b0"), F.col("top").alias("t0"))
+    far = F.bit_count(F.col("bits").bitwiseXOR(F.col("b0"))) + (F.col("top") != F.col("t0")).cast("int")
+    return codes.crossJoin(F.broadcast(z)).select("vec_id", F.round(1 - far / 64.0, 6).alias("similarity"))
+
+
+@_query(f"WITH {_LIMITS}, c AS (SELECT vec_id, i // 2 AS byte, i % 2 AS part, {_CODE.format('15.0')} AS code FROM e, b) SELECT vec_id, byte, sum(code * (CASE part WHEN 0 THEN 1 ELSE 16 END))::INTEGER AS packed FROM c GROUP BY 1, 2")
+def q42_sq4_pack(spark, d):
+    s = (F.col("hi") - F.col("lo")) / 15
+    code = F.transform("embedding", lambda x: F.least(F.greatest(F.round((x.cast("double") - F.col("lo")) / s), F.lit(0.0)), F.lit(15.0)).cast("int"))
+    rows = _limits(spark, d).select("vec_id", code.alias("c"))
+    packed = F.transform(F.sequence(F.lit(0), F.size("c") / 2 - 1), lambda k: F.element_at("c", (2 * k + 1).cast("int")) + 16 * F.element_at("c", (2 * k + 2).cast("int")))
+    return rows.select("vec_id", F.posexplode(packed).alias("byte", "packed")).withColumn("byte", F.col("byte").cast("bigint"))
+
+
+@_query()
+def q43_chunk(spark, d):
+    """Chunks have no SQL form; tests compare them with published cases."""
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(text.chunk_column(F.col("text"))).alias("n", "c")).select("doc_id", "n", "c.start", "c.end", F.octet_length("c.text").alias("bytes"))
+
+
+@_query()
+def q44_ivf_recall(spark, d):
+    """Recall of approximate against exact search for the first vectors of each label."""
+    v = _vecs(spark, d)
+    cells = ann.fit_cells(v, 16)
+    part = ann.assign(v, cells)
+    asked = v.groupBy("label").agg(F.min_by("vector", "id").alias("v"), F.min("id").alias("qid")).orderBy("qid").collect()  # one query for each label
+    truth = search.batch_knn(v, [r["v"] for r in asked], 10, "euclidean", qids=[r["qid"] for r in asked])
+    found = None
+    for r in asked:
+        one = ann.ivf_search(part, cells, r["v"], 10, 12, "euclidean").select(F.lit(r["qid"]).cast("bigint").alias("qid"), "id")
+        found = one if found is None else found.unionByName(one)
+    return ann.recall(found, truth, 10)
+
+
+@_query()
+def q45_catalog(spark, d):
+    """A stored collection of all embeddings, searched through an alias."""
+    db = Database.memory(spark)
+    c = db.create_collection("vecs", 64, metric="cosine", payload_indexes={"label": "integer"})
+    c.upsert_df(_vecs(spark, d).select(F.col("id").cast("string").alias("id"), "vector", "payload", F.col("id").alias("o")), "o")
+    db.create_alias("points", "vecs")
+    return db.collection("points").query(_vector(spark, d)).filter({"must": [{"key": "label", "range": {"lt": 5}}]}).limit(10).to_df().select("id", F.round(F.col("score").cast("double"), 5).alias("score"), "payload")
+
+
+@_query("SELECT vec_id, list_position(embedding, list_min(embedding))::BIGINT - 1 AS place, round(list_min(embedding)::DOUBLE, 6) AS least FROM embeddings")
+def q46_argmin(spark, d):
+    m = vectors.argmin(F.col("embedding"))
+    return _t(spark, d, "embeddings").select("vec_id", m["index"].alias("place"), F.round(m["value"].cast("double"), 6).alias("least"))
+
+
+@_query("WITH i AS (SELECT vec_id, list_transform(embedding, lambda x: round(x * 100)::INTEGER) AS v FROM embeddings), q AS (SELECT v AS w FROM i WHERE vec_id = 0) SELECT vec_id, list_sum(list_transform(list_zip(v, w), lambda z: z[1] * z[2]))::INTEGER AS dot FROM i, q")
+def q47_int8_dot(spark, d):
+    i = _t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 100).cast("tinyint")).alias("v"))
+    q = i.where("vec_id = 0").select(F.col("v").alias("w"))
+    return i.crossJoin(F.broadcast(q)).select("vec_id", vectors.int8_dot(F.col("v"), F.col("w")).alias("dot"))
+
+
+@_query()
+def q48_product_quantization(spark, d):
+    """Squared error of product codes by label."""
+    e = _t(spark, d, "embeddings")
+    codec = quant.ProductCodec(8, 64).fit(e, "embedding")
+
+    @F.pandas_udf("double")
+    def loss(v):
+        x = np.stack(v)
+        return __import__("pandas").Series(((codec.decode(codec.encode(x), x.shape[1]) - x) ** 2).sum(1))
+
+    return e.groupBy("label").agg(F.round(F.avg(loss("embedding")), 6).alias("error"))
+
+
+@_query("SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def q49_latest_turn(spark, d):
+    c = _t(spark, d, "conversations").select("conv_id", "turn")
+    return table.live_view(c, "conv_id", "turn").select("conv_id", F.col("turn").alias("last_turn"))
