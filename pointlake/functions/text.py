@@ -33,8 +33,12 @@ def words_long(text: Column) -> Column:
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """N-grams of characters in lower case; a shorter text is one gram."""
     low = F.lower(text)
+    chars = F.split(low, "")
     size = F.char_length(low)
-    return F.when(size < n, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n))))
+    grams = chars  # zipped with its own tails: a place in a text is never sought from the start
+    for j in range(1, n):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(j + 1), F.greatest(size - j, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.when(size < n, F.array(low)).otherwise(F.filter(grams, lambda g: g.isNotNull()))
 
 
 def py_words_any(text: str) -> list[str]:

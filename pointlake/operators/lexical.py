@@ -69,12 +69,13 @@ class Lexical(Embedder):
     def vocabulary(self, df: DataFrame, text: str = "text") -> DataFrame:
         """(term, cf, df) of the ``dimension`` best terms: one grouped count, then a top-k."""
         toks = df.where(F.col(text).isNotNull()).select(self.tokens(F.col(text)).alias("t"))
-        # terms of a document are counted where it is read, so it needs no id and moves once
-        each = toks.select(F.explode(F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("n")))).alias("e"))
         if self.name in ("bow", "char_ngram"):
             each = toks.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
             return each.withColumn("df", F.col("cf")).orderBy(*self.order()).limit(self.dimension)
-        return each.groupBy("e.term").agg(F.sum("e.n").alias("cf"), F.count("*").alias("df")).orderBy(*self.order()).limit(self.dimension)
+        entry = lambda cf, df: lambda w: F.struct(w.alias("term"), F.lit(cf).cast("bigint").alias("cf"), F.lit(df).cast("bigint").alias("df"))
+        # occurrences and documents are counted in one pass and one shuffle
+        each = toks.select(F.explode(F.concat(F.transform("t", entry(1, 0)), F.transform(F.array_distinct("t"), entry(0, 1)))).alias("e")).select("e.*")
+        return each.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).orderBy(*self.order()).limit(self.dimension)
 
     def stats(self, df: DataFrame, text: str = "text") -> DataFrame:
         """One row (n_docs, mean_length)."""
