@@ -103,7 +103,7 @@ class BinaryCodec(Codec):
     def fit(self, df: DataFrame, vector: str = "vector") -> BinaryCodec:
         """The upper median of all components, exactly. Counts by value are halved until one value
         is left, so no task ever sorts or holds them all."""
-        counts = df.select(F.explode(vector).cast("double").alias("x")).groupBy("x").agg(F.count("*").alias("n")).persist()
+        counts = df.select(F.explode(vector).alias("v")).groupBy(F.col("v").cast("double").alias("x")).agg(F.count("*").alias("n")).persist()
         total, lo, hi = counts.agg(F.sum("n"), F.min("x"), F.max("x")).first()
         x = F.col("x")
         while total and lo < hi:

@@ -354,7 +354,7 @@ def q34_hybrid_single_lane(spark, d):
     return _shown(search.hybrid(_sparse(spark, d), _vector(spark, d), None, 10))
 
 
-@_query("SELECT vec_id, i, round(x / n, 5) AS x FROM (SELECT vec_id, unnest(range(0, len(v))) AS i, unnest(v) AS x, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda y: y * 3 + 1) AS v FROM embeddings))")
+@_query("SELECT vec_id, i, round((x / n)::FLOAT::DOUBLE, 5) AS x FROM (SELECT vec_id, unnest(range(0, len(v))) AS i, unnest(v) AS x, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda y: y * 3 + 1) AS v FROM embeddings))")
 def q35_normalize(spark, d):
     v = F.transform("embedding", lambda y: y.cast("double") * 3 + 1)
     return _t(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.normalize(v)).alias("i", "x")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
@@ -401,8 +401,8 @@ _MEDIAN = "m AS (SELECT x AS t FROM (SELECT x, row_number() OVER (ORDER BY x) AS
 def q40_binary_codes(spark, d):
     e = _t(spark, d, "embeddings")
     t = float(quant.BinaryCodec().fit(e, "embedding").threshold)
-    bit = F.transform("embedding", lambda x, i: F.when((x > F.lit(t).cast("float")) & (i < 63), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return e.select("vec_id", F.aggregate(bit, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)).alias("bits"), (F.element_at("embedding", 64) > F.lit(t).cast("float")).alias("top"))
+    bit = F.transform("embedding", lambda x, i: F.when((x > F.lit(t).cast("float")) & (i < 63), F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return e.select("vec_id", F.aggregate(bit, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("bits"), (F.element_at("embedding", 64) > F.lit(t).cast("float")).alias("top"))
 
 
 @_query(f"WITH {_MEDIAN}, e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings), b AS (SELECT vec_id, i, x > t AS bit FROM e, m) SELECT a.vec_id, round(1 - sum((a.bit <> z.bit)::INTEGER) / 64.0, 6) AS similarity FROM b a JOIN b z ON a.i = z.i AND z.vec_id = 0 GROUP BY 1")
@@ -418,7 +418,7 @@ def q42_sq4_pack(spark, d):
     s = (F.col("hi") - F.col("lo")) / 15
     code = F.transform("embedding", lambda x: F.least(F.greatest(F.round((x.cast("double") - F.col("lo")) / s), F.lit(0.0)), F.lit(15.0)).cast("int"))
     rows = _limits(spark, d).select("vec_id", code.alias("c"))
-    packed = F.transform(F.sequence(F.lit(0), F.size("c") / 2 - 1), lambda k: F.element_at("c", (2 * k + 1).cast("int")) + 16 * F.element_at("c", (2 * k + 2).cast("int")))
+    packed = F.transform(F.sequence(F.lit(0), (F.size("c") / 2).cast("int") - 1), lambda k: F.element_at("c", (2 * k + 1).cast("int")) + 16 * F.element_at("c", (2 * k + 2).cast("int")))
     return rows.select("vec_id", F.posexplode(packed).alias("byte", "packed")).withColumn("byte", F.col("byte").cast("bigint"))
 
 
