@@ -4,9 +4,9 @@
   ``BINS`` bins, which keeps the least rest. An empty bin copies the bin that its own
   sequence of universal hashes meets first (Shrivastava, 2017), so all bins count.
 * Equal signatures collapse to their least id. The others fall into ``BANDS`` buckets.
-* A bucket of n proposes n - 1 edges, a star around its least id. Edges are verified
-  with whole signatures. Members that their centre doesn't match get further centres,
-  in one pass over the buckets concerned, so none is dropped.
+* A bucket of n first proposes n - 1 edges, a star around its least id. Edges are verified
+  with whole signatures. Members that their centre doesn't match are compared with all
+  members of their bucket outside their component, so no link of a bucket is dropped.
 * Groups are the connected components of the verified edges (large-star, small-star).
 """
 
@@ -121,28 +121,48 @@ def _agree(threshold: float):
     return run
 
 
-def _more_stars(threshold: float):
-    """Rows (bucket, id, signature) in order: each id joins the first centre of its bucket
-    that it agrees with, or becomes one."""
+def _links(sigs: np.ndarray, joined: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Edges that join all rows of ``sigs`` whose pairs agree; those in ``joined`` are joined already.
+
+    A row that isn't in ``joined`` is compared with every row outside its component, so each pair of rows
+    either is verified or lies in one component."""
+    part, out = np.arange(len(sigs)), []
+    part[joined] = -1
+    for i in np.flatnonzero(~joined).tolist():
+        other = np.flatnonzero(part != part[i])
+        for lo in range(0, len(other), 4096):
+            some = other[lo : lo + 4096]
+            hits = some[np.count_nonzero(sigs[some] == sigs[i], 1) / sigs.shape[1] >= threshold]
+            for j in hits.tolist():
+                if part[j] != part[i]:
+                    out.append((i, j))
+                    part[part == part[j]] = part[i]
+    return out
+
+
+def _more_links(threshold: float):
+    """Rows (bucket, id, signature, joined to the centre) in order: the edges that close each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, centres, ids = None, np.zeros((0, 0), np.uint16), []
+        def closed() -> pa.RecordBatch:
+            ids = np.concatenate([x[0] for x in held])
+            links = np.array(_links(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), threshold), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(ids[links[:, 0]]), pa.array(ids[links[:, 1]])], names=["a", "b"])
+
+        at, held = None, []
         for b in batches:
-            a, to = [], []
-            sigs = _matrix(b.column(2)) if b.num_rows else []
-            for bucket, i, sig in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sigs):
-                if bucket != at:
-                    at, ids, centres = bucket, [], np.zeros((16, len(sig)), np.uint16)
-                hit = np.flatnonzero((centres[: len(ids)] == sig).mean(1) >= threshold) if ids else ()
-                if len(hit):
-                    a.append(i)
-                    to.append(ids[hit[0]])
-                    continue
-                if len(ids) == len(centres):
-                    centres = np.concatenate([centres, np.zeros_like(centres)])
-                centres[len(ids)] = sig
-                ids.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64())], names=["a", "b"])
+            if not b.num_rows:
+                continue
+            bucket, ids, sigs, joined = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)), b.column(3).to_numpy(zero_copy_only=False)
+            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if held and bucket[lo] != at:
+                    yield closed()
+                    held = []
+                at = bucket[lo]
+                held.append((ids[lo:hi], sigs[lo:hi], joined[lo:hi]))
+        if held:
+            yield closed()
 
     return run
 
@@ -199,10 +219,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", ke
     one = sigs.groupBy("id").agg(F.min("sig").alias("sig"))
     both = pairs.join(one, "id").join(one.select(F.col("id").alias("centre"), F.col("sig").alias("sig2")), "centre").select("id", "centre", "sig", "sig2")
     tried = materialise(spark, both.mapInArrow(_agree(threshold), "id bigint, centre bigint, ok boolean"), "tried")
-    # what its centre doesn't match looks for another in its bucket
-    rest = stars.join(tried.where("not ok").drop("ok"), ["id", "centre"]).select("bucket", "id").join(one, "id")
-    rest = rest.select("bucket", "id", "sig").repartition("bucket").sortWithinPartitions("bucket", "id")
-    more = rest.mapInArrow(_more_stars(threshold), "a bigint, b bigint")
+    # what its centre doesn't match is compared with its whole bucket, matched members too
+    judged = materialise(spark, stars.join(tried, ["id", "centre"]).select("bucket", "id", "ok"), "judged")
+    open_ = judged.where("not ok").select("bucket").distinct()
+    rest = judged.union(centres.select("bucket", F.col("centre").alias("id"), F.lit(True).alias("ok"))).join(open_, "bucket").join(one, "id")
+    rest = rest.select("bucket", "id", "sig", "ok").repartition("bucket").sortWithinPartitions("bucket", "id")
+    more = rest.mapInArrow(_more_links(threshold), "a bigint, b bigint")
     edges = copies.union(tried.where("ok").select("id", "centre")).union(more)
     return components(spark, edges).select(F.col("id").alias("doc_id"), F.col("root").alias("dup_of"))
 

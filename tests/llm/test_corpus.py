@@ -118,6 +118,30 @@ def test_minhash(spark, edge, none):
         assert abs((s[0] == s[1]).mean() - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.25
 
 
+@pytest.mark.parametrize("size", [50, 1000])
+def test_minhash_closes_buckets(spark, size):
+    rng = random.Random(size)
+    base = words(rng, 100, VOCABULARY).split()
+    texts = [" ".join(base)]
+    for _ in range(size):  # variants about as far from the original as the threshold
+        t = list(base)
+        for k in rng.sample(range(len(t)), rng.randrange(5, 14)):
+            t[k] = rng.choice(VOCABULARY)
+        texts.append(" ".join(t))
+    rng.shuffle(texts)
+    raw = [t.encode() for t in texts]
+    _, sigs = minhash_dedup.signatures(minhash_dedup.Words(), np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    rows = sigs.shape[1] // minhash_dedup.BANDS
+    bands = sigs[:, : rows * minhash_dedup.BANDS].reshape(len(sigs), minhash_dedup.BANDS, rows)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):  # all pairs that share a bucket
+        for j in np.flatnonzero((bands[:i] == bands[i]).all(2).any(1) & ((sigs[:i] == sigs[i]).mean(1) >= minhash_dedup.THRESHOLD)).tolist():
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    got = {r[0]: r[1] for r in minhash_dedup.near_duplicates(spark, docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: r for i, r in enumerate(root) if r != i}
+
+
 def test_packing(spark, edge, none):
     rng = random.Random(4)
 
