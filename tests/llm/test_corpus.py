@@ -245,6 +245,24 @@ def test_toxicity(spark, edge, none, no_labels):
     assert [raw[a:b].tobytes() for a, b in zip(lo, hi)] == [b" ab ", b" c d ", b" d e ", b" e f ", b" f g "] and text.tolist() == [0, 2, 2, 2, 2]
 
 
+def test_toxicity_of_long_documents(spark):
+    rng = random.Random(11)
+    bad = ["wretchling", "gutterfool", "nastyface"]
+    ordinary = lambda n: [rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(n)]
+    rows = [(i, " ".join(ordinary(80) + [rng.choice(bad) for _ in range(3 * (i % 4 == 0))]), "en", "s") for i in range(1500)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(1500)], LABELS)
+    for k, n in enumerate((200, 2000, 20_000)):
+        for j in range(20):
+            t = ordinary(n)
+            rows.append((10_000 * (k + 1) + j, " ".join(t), "en", "s"))
+            passage = [w for b in bad * 2 for w in (b, *ordinary(3))]  # the same few insults at any length
+            rows.append((10_000 * (k + 1) + 1000 + j, " ".join(t[: n // 2] + passage + t[n // 2 :]), "en", "s"))
+    flag = toxicity.score(spark, docs_of(spark, rows), labels).toPandas().set_index("doc_id")["toxic"].sort_index()
+    for k in (10_000, 20_000, 30_000):
+        assert flag.loc[k + 1000 : k + 1019].mean() >= 0.95 and flag.loc[k : k + 19].mean() <= 0.1
+    assert toxicity.best_runs(np.array([-1.0, 2, -0.5, 3, -9, 4, -1]), np.array([0, 0, 0, 0, 0, 2, 2]), 3).tolist() == [4.5, 0, 4]
+
+
 def test_ctw(spark, edge, none):
     texts = ["abracadabra", "banana band", "", "é abra", None, "a", "a"]
     got = {r["doc_id"]: r for r in ctw.score(spark, docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
