@@ -9,7 +9,7 @@
 
        minimise  sum_k ((A w)_k - t_k)^2 / t_k   over w >= 0, from w = 1,
 
-   in the metric that weighs a document by its tokens, with Nesterov's momentum. A step needs one sum over the
+   in the metric that weighs a document by its tokens, with Nesterov's momentum, restarted when it overshoots. A step needs one sum over the
    table per iteration: the K residuals. A document's rate follows from its posteriors and
    the residuals so far, so no state is kept by document. Documents with equal posteriors,
    in steps of 1/``GRID``, have equal rates, and the sums run over those.
@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +36,13 @@ TARGETS = {"good": 0.90, "plain": 0.07, "toxic": 0.03}
 TRAIN_ROWS = 50_000
 SLOT_BITS = 18
 STEM = 4
-GRID = 256
+GRID, GRID_TASKS = 256, 16
 #: Squared deviation, in variances, from which a word's share in a domain is significant.
 SIGNIFICANT = 30.0
+#: Sums of log-odds saturate here: what more a very long text has to say would not be calibrated.
 CLIP = 12.0
+#: Rounds of descent end when targets are met this closely, or when three in a row moved nothing; a fit
+#: that still moves after ``ROUNDS`` warns.
 ROUNDS, TOLERANCE = 200, 1e-4
 
 
@@ -116,7 +120,7 @@ def fit_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame, text
     """None if no labelled document is at hand."""
     K = len(DOMAINS)
     known = labels.select(F.col("doc_id").alias("l_id"), domain_of().alias("domain")).where("domain is not null and l_id is not null")
-    known = known.withColumn("u", F.xxhash64("l_id")).dropDuplicates(["l_id"]).orderBy("u", "l_id").limit(rows)
+    known = known.groupBy("l_id").agg(F.max("domain").alias("domain")).withColumn("u", F.xxhash64("l_id")).orderBy("u", "l_id").limit(rows)
     known = F.broadcast(known.select("l_id", "domain", (F.col("u") % 5 == 0).alias("held")))  # at most ``rows`` rows
     found = docs.select(c(key).alias("id"), c(text).alias("text")).where("text is not null").join(known, F.col("id") == F.col("l_id")).select("text", "domain", "held")
     found = materialise(spark, found, "labelled")
@@ -128,7 +132,8 @@ def fit_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame, text
     n = n.reshape(K, -1)
     share = (n.sum(0) + 0.5) / (n.sum() + 0.5 * n.shape[1])
     mean = n.sum(1, keepdims=True) * share
-    tells = ((n - mean) ** 2 / mean).max(0) > SIGNIFICANT
+    seen = mean > 0  # a domain without labelled words says nothing of any word
+    tells = np.divide((n - mean) ** 2, mean, out=np.zeros_like(mean), where=seen).max(0) > SIGNIFICANT
     p = (n + 50 * share) / (n.sum(1, keepdims=True) + 50)  # smoothed towards all domains together
     start = np.vstack([np.eye(K), np.zeros((1, K))])
     model = Classifier(np.ascontiguousarray(np.log(p / share).T), tells, start)
@@ -144,7 +149,7 @@ def _posteriors(model, key_cols: int):
     """Rows (text, keys ...): the keys, tokens, and grid posteriors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, m = Words(marks=True), model.value
+        words, m = Words(marks=True), Classifier(*model.value)
         for b in batches:
             for lo, hi, data, offs in text_chunks(b.column(0)):
                 slot, doc = _slots(words, data, offs)
@@ -157,21 +162,16 @@ def _posteriors(model, key_cols: int):
 
 
 def rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Rates by replaying the gradient steps on posteriors ``p`` (rows x K)."""
-    w = ahead = np.ones(len(p))
-    for s, push in _pushes(steps):
-        now = np.maximum(0.0, ahead - p @ s)
-        w, ahead = now, now + push * (now - w)
-    return w
+    """Rates by replaying the gradient steps (K numbers and the momentum after it) on posteriors ``p`` (rows x K)."""
+    return _replayed(p, steps)[0]
 
 
-def _pushes(steps: np.ndarray):
-    """The steps with Nesterov's momenta."""
-    t = 1.0
+def _replayed(p: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = ahead = np.ones(len(p))
     for s in steps:
-        nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        yield s, (t - 1) / nxt
-        t = nxt
+        now = np.maximum(0.0, ahead - p @ s[:-1])
+        w, ahead = now, now + s[-1] * (now - w)
+    return w, ahead
 
 
 def _expected(steps: np.ndarray, K: int):
@@ -179,10 +179,7 @@ def _expected(steps: np.ndarray, K: int):
         total = np.zeros(2 * K)
         for b in batches:
             p, n = np.stack([b.column(1 + k).to_numpy() for k in range(K)], 1) / GRID, b.column(0).to_numpy()
-            w = ahead = np.ones(len(p))
-            for s, push in _pushes(steps):
-                now = np.maximum(0.0, ahead - p @ s)
-                w, ahead = now, now + push * (now - w)
+            w, ahead = _replayed(p, steps)
             total += np.concatenate([(w * n) @ p, (ahead * n) @ p])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * K)), pa.array(total)], names=["k", "x"])
 
@@ -201,26 +198,32 @@ def solve(spark: SparkSession, grid: DataFrame, targets: dict[str, float] | None
     square = np.array([float(x or 0) for x in sums[K:]]).reshape(K, K)
     share = np.array([(targets or TARGETS).get(x, 0.0) for x in DOMAINS]) * (now > 0)
     if not share.sum():
-        return np.zeros((0, K)), now, now
+        return np.zeros((0, K + 1)), now, now
     share /= share.sum()
     if budget is None:
         budget = float((now[share > 0] / share[share > 0]).min())
     aim = share * budget
     scale = np.where(now > 0, np.maximum(aim, 0.01 * now), 1.0)
     size = 1.0 / np.linalg.eigvalsh(square / np.sqrt(scale)[:, None] / np.sqrt(scale)[None, :])[-1]
-    steps = np.zeros((0, K))
+    few = grid.select("n_tokens", *cols).coalesce(GRID_TASKS)  # the grid has one size; 2 K sums a task come back
+    steps = np.zeros((0, K + 1))
     got = ahead = now
+    t, loss = 1.0, float("inf")
     still = 0  # rounds in a row that moved nothing: a target may be out of reach
     for _ in range(ROUNDS):
         if np.abs((got - aim) / scale).max() < TOLERANCE or still >= 3:
             break
-        steps = np.vstack([steps, size * (ahead - aim) / scale])
-        out = grid.select("n_tokens", *cols).mapInArrow(_expected(steps, K), "k bigint, x double").groupBy("k").agg(F.sum("x")).collect()
-        both = np.zeros(2 * K)
-        for k, x in out:
-            both[k] = x
+        before, t = t, (1 + np.sqrt(1 + 4 * t * t)) / 2
+        steps = np.vstack([steps, np.append(size * (ahead - aim) / scale, (before - 1) / t)])
+        out = few.mapInArrow(_expected(steps, K), "k bigint, x double").toArrow()
+        both = np.bincount(out["k"].to_numpy(), out["x"].to_numpy(), 2 * K)
         still = still + 1 if np.abs((both[:K] - got) / scale).max() < TOLERANCE / 10 else 0
         got, ahead = both[:K], both[K:]
+        if (now_loss := float(((got - aim) ** 2 / scale).sum())) > loss:  # overshot: momentum starts afresh
+            t, ahead, steps[-1, -1] = 1.0, got, 0.0
+        loss = now_loss
+    else:
+        warnings.warn(f"the rates still move after {ROUNDS} rounds; expected tokens {got.tolist()} for {aim.tolist()}", RuntimeWarning, stacklevel=2)
     return steps, aim, got
 
 
@@ -233,7 +236,8 @@ def _mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str, k
     model = fit_classifier(spark, docs, labels, text, key)
     if model is None:
         return None
-    sent = spark.sparkContext.broadcast(model)  # of one size: slots x domains
+    # plain arrays of one size, slots x domains: a worker without this package can read them
+    sent = spark.sparkContext.broadcast((model.log_word, model.tells, model.weights))
     shape = "n_tokens bigint, " + ", ".join(f"p_{x} int" for x in DOMAINS)
     grid = docs.select(c(text)).mapInArrow(_posteriors(sent, 0), shape).groupBy(*[f"p_{x}" for x in DOMAINS]).agg(F.sum("n_tokens").alias("n_tokens"))
     steps, _, _ = solve(spark, materialise(spark, grid, "grid"), targets, budget)
@@ -244,8 +248,8 @@ def mix_weights(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: s
     """(doc_id, n_tokens, p_good, p_plain, p_toxic, rate, copies) for every row of ``docs``.
 
     A null or empty text has no tokens and the posteriors of a text without evidence.
-    Labels that are null, or of no document here, don't count; of several for one id any one
-    does. With no usable label every rate is 1 and the posteriors are null. Repeated
+    Labels that are null, or of no document here, don't count; of several for one id the
+    last in the order good, plain, toxic does. Texts of any length are read whole. With no usable label every rate is 1 and the posteriors are null. Repeated
     rows are treated alike, a null id as an id of its own. A domain with no tokens has
     no target. An empty table gives an empty one; further columns are ignored.
     """
@@ -275,7 +279,7 @@ def _copied(model, steps: np.ndarray, at: int, u: int):
     """Each row as often as its rate and its number ``u`` (a column, dropped) say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, m = Words(marks=True), model.value
+        words, m = Words(marks=True), Classifier(*model.value)
         for b in batches:
             keep = [b.column(j) for j in range(b.num_columns) if j != u]
             names = [x for j, x in enumerate(b.schema.names) if j != u]
@@ -290,7 +294,9 @@ def _copied(model, steps: np.ndarray, at: int, u: int):
 
 
 def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`mix_weights` says, all columns kept."""
+    """The rows of ``docs``, each as often as :func:`mix_weights` says, all columns kept, whatever
+    their names. Null, empty and very long texts, null and repeated ids, ties and empty tables are treated
+    as there; without a usable label every row comes once."""
     found = _mixed(spark, docs, labels, text, key, targets, budget)
     if found is None:
         return docs
