@@ -32,6 +32,8 @@ UNKNOWN = "und"
 P_UNKNOWN, ACCEPT = 0.01, 0.5
 #: Neighbouring trigrams share bytes, so each counts for a third.
 WEIGHT = 1 / 3
+#: Languages of the model at most, the most frequent labels: 256 KB each are broadcast, and six columns each carried.
+LANGS = 128
 #: Pseudo-counts: of the level above a host, domain or suffix, and of a markup or suffix value.
 LEVEL, VALUE = 4.0, 1.0
 
@@ -76,9 +78,14 @@ def _count(langs: list[str]):
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities of slots by language) from every labelled text."""
+    """(languages, log probabilities of slots by language) from every labelled text.
+
+    At most ``LANGS`` languages, those with the most texts (ties by name), have a model. A text with a rarer
+    label counts as unlabelled, so a column of dirty labels can't grow the model.
+    """
     rows = labelled.where(c(text).isNotNull() & c(lang).isNotNull() & (c(lang) != UNKNOWN))
-    langs = sorted(r[0] for r in rows.select(c(lang)).distinct().toLocalIterator())
+    top = rows.groupBy(c(lang).alias("lang")).count().orderBy(F.col("count").desc(), "lang").limit(LANGS)
+    langs = sorted(r[0] for r in top.collect())
     if not langs:
         return [], np.zeros((0, 1 << SLOT_BITS), np.float32)
     counts = rows.select(c(text), c(lang)).mapInArrow(_count(langs), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -135,16 +142,24 @@ def identify(spark: SparkSession, records: DataFrame, model: tuple[list[str], np
     bytes is judged by the other evidence alone. A record is accepted if its text is neither
     null nor empty, and its best language isn't unknown and has a posterior of ``ACCEPT`` or
     more. Ties go to the
-    language first in the alphabet. Repeated rows are judged alike. With no labelled
+    language first in the alphabet. Texts of any length are read whole. Other columns may have any names but
+    those three, which raise ``ValueError``. Repeated rows are judged alike. With no labelled
     text at all every ``lang`` is null and none is accepted. An empty table gives an empty one.
     """
     langs, table = model
     L = len(langs)
     rest = [x for x in records.columns if x != "text"]
+    if {x.lower() for x in rest} & {"lang", "posterior", "accepted"}:
+        raise ValueError("lang, posterior and accepted are columns of the result")
     if not L:
         return records.select(*[c(x) for x in rest]).withColumns({"lang": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "accepted": F.lit(False)})
+    evidence = ("text", "markup", "suffix", "domain", "host")
+    carried = [x for x in records.columns if x not in evidence]
+    plain = {x: f"carried_{i}" for i, x in enumerate(carried)}  # names of its own, that clash with none used here
+    records = records.select(*[c(x).alias(plain.get(x, x)) for x in records.columns])
+    rest = [x for x in records.columns if x != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*[c(x) for x in rest]).schema)
-    sent = spark.sparkContext.broadcast(table)  # 256 KB for each language
+    sent = spark.sparkContext.broadcast(table)  # 256 KB for each of at most ``LANGS`` languages
     scored = records.select(c("text"), *[c(x) for x in rest]).mapInArrow(_score(sent, L), fields + "".join(f", ll_{k} double" for k in range(L)) + ", trigrams bigint, bytes bigint")
     unknown = F.col("trigrams") * float(-np.log(1 << SLOT_BITS))
     known = [F.col(f"ll_{k}") * WEIGHT + float(np.log((1 - P_UNKNOWN) / L)) for k in range(L)]
@@ -164,9 +179,9 @@ def identify(spark: SparkSession, records: DataFrame, model: tuple[list[str], np
         if level == "markup":
             n_markup = g.count()
     result = fields + ", lang string, posterior double, accepted boolean"
-    if "lang" in rest or "posterior" in rest or "accepted" in rest:
-        raise ValueError("lang, posterior and accepted are columns of the result")
-    return out.mapInArrow(_fused(langs, out.columns, len(rest), n, n_markup), result)
+    fused = out.mapInArrow(_fused(langs, out.columns, len(rest), n, n_markup), result)
+    back = {v: k for k, v in plain.items()}
+    return fused.select(*[c(x).alias(back.get(x, x)) for x in fused.columns])
 
 
 def fuse(q: np.ndarray, ll: np.ndarray, trigrams: np.ndarray, seen: dict[str, np.ndarray], has_markup: np.ndarray, total: np.ndarray, n_markup: int) -> np.ndarray:
@@ -231,7 +246,8 @@ def keep_known(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The accepted rows of ``docs`` with all their columns; see :func:`identify`.
 
     A row is known by its id, source and text, nulls included, so repeated rows stay or go
-    together; rows with a null text go.
+    together; rows with a null or empty text go. Columns may have any names. Without any labelled text no
+    language is known and every row goes; an empty table stays empty.
     """
     out = materialise(spark, rejected(spark, docs), "rejected")
     i, o, h = fresh(docs, "r_id", "r_source", "r_h")
