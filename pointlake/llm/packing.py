@@ -5,7 +5,7 @@ and a rest. Rests and shorter documents are dealt by hash into groups of about `
 pieces, so the work of a task has one size whatever the size of the table. A group is
 packed by branch and bound: a node takes the largest piece left and branches over the
 undominated fillings of its bin; waste bounds prune; best-fit decreasing gives the
-first incumbent, and further ones from the nodes visited.
+first incumbent, bins filled one by one with least slack the second, and further ones come from the nodes visited.
 """
 
 from __future__ import annotations
@@ -62,6 +62,47 @@ def waste_bound(sizes: list[int], capacity: int) -> int:
     return best
 
 
+def fullest(sizes: list[int], left: list[int], room: int) -> list[int]:
+    """The subset of ``left`` (positions, by falling size) that leaves least of ``room``, larger pieces first: sums
+    that can be reached are bits of one number, kept for each distinct size."""
+    bits, mask, steps = 1, (1 << (room + 1)) - 1, []
+    k = 0
+    while k < len(left):
+        x, end = sizes[left[k]], k
+        while end < len(left) and sizes[left[end]] == x:
+            end += 1
+        if x <= room:
+            before = bits
+            for _ in range(min(end - k, room // x)):
+                more = bits | (bits << x) & mask
+                if more == bits:
+                    break
+                bits = more
+            steps.append((x, k, end, before))
+            if bits >> room & 1:
+                break
+        k = end
+    want, out = bits.bit_length() - 1, []
+    for x, lo, hi, before in reversed(steps):  # as few of the small ones as will do
+        n = 0
+        while not before >> want & 1:
+            want -= x
+            out.append(left[lo + n])
+            n += 1
+    return out[::-1]
+
+
+def least_slack(sizes: list[int], order: list[int], capacity: int) -> list[list[int]]:
+    """One bin after the other, each with the largest piece left and the fullest completion."""
+    bins, left = [], order
+    while left:
+        fill = fullest(sizes, left[1:], capacity - sizes[left[0]])
+        bins.append([left[0], *fill])
+        gone = set(bins[-1])
+        left = [i for i in left if i not in gone]
+    return bins
+
+
 def fillings(sizes: list[int], left: list[int], room: int, most_waste: int, spend) -> Iterator[list[int]]:
     """Undominated subsets of ``left`` (positions, by falling size) that fit ``room`` with no
     more waste than allowed. A subset is dominated if a piece left out fits what room
@@ -101,6 +142,8 @@ def pack(sizes: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     best = best_fit(sizes, order, capacity)
     bound, total, budget = waste_bound(sizes, capacity), sum(sizes), [steps]
+    if len(best) > bound:
+        best = min(best, least_slack(sizes, order, capacity), key=len)
 
     def spend() -> bool:
         budget[0] -= 1
@@ -147,12 +190,14 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array(n[ok].astype(np.int64))], names=["doc_id", "n_tokens"])
 
 
-_OUT = "bin_id bigint, doc_id bigint, first_token bigint, tokens bigint, bin_tokens bigint"
+#: Equal rows that stay together when they are dealt to groups.
+TOGETHER = 64
 
 
 def _packed(capacity: int, steps: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("n_tokens", "descending"), ("doc_id", "ascending")])
+        t = t.take(pa.array(np.repeat(np.arange(t.num_rows), t["copies"].to_numpy())))
         group, n = t["grp"][0].as_py(), t["n_tokens"].to_numpy()
         full, rest = n // capacity, n % capacity
         row = np.repeat(np.arange(len(n)), full)
@@ -183,15 +228,18 @@ def pack_documents(spark: SparkSession, docs: DataFrame, text: str = "text", key
     Tokens are the words between white space. Every token of every row is in exactly one
     piece, and no bin holds more than ``capacity``. Rows without tokens (null, empty,
     blank) have no piece; repeated rows are packed as often as they come; a null id stays
-    null. Ties in size go by id. An empty table gives an empty one; further columns are
+    null. Ties in size go by id, of whatever type that is sorted; the result doesn't depend on how the table
+    is split into files. Texts of any length are cut. An empty table gives an empty one; further columns are
     ignored.
     """
-    n = docs.select(c(key).cast("bigint"), c(text)).mapInArrow(_lengths, "doc_id bigint, n_tokens bigint")
-    n = materialise(spark, n, "lengths")
-    groups = max(1, -(-n.count() // group))
-    # equal rows are dealt apart by their place in a partition only if they are many
-    dealt = n.withColumn("grp", F.pmod(F.xxhash64("doc_id", "n_tokens", F.monotonically_increasing_id() % 64), F.lit(groups)).cast("bigint"))
-    return dealt.groupBy("grp").applyInArrow(_packed(capacity, steps), _OUT)
+    kind = docs.schema[key].dataType.simpleString()
+    n = docs.select(c(key), c(text)).mapInArrow(_lengths, f"doc_id {kind}, n_tokens bigint")
+    # equal rows become one with their number before they are shuffled, however many they are
+    n = materialise(spark, n.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("n")), "lengths")
+    groups = max(1, -(-int(n.agg(F.sum("n")).first()[0] or 0) // group))
+    dealt = n.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {TOGETHER}"))).alias("part"))
+    dealt = dealt.select("doc_id", "n_tokens", F.least(F.lit(TOGETHER), F.col("n") - TOGETHER * F.col("part")).alias("copies"), F.pmod(F.xxhash64("doc_id", "n_tokens", "part"), F.lit(groups)).cast("bigint").alias("grp"))
+    return dealt.groupBy("grp").applyInArrow(_packed(capacity, steps), f"bin_id bigint, doc_id {kind}, first_token bigint, tokens bigint, bin_tokens bigint")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
