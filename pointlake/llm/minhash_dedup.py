@@ -5,8 +5,12 @@
   sequence of universal hashes meets first (Shrivastava, 2017), so all bins count.
 * Equal signatures collapse to their least id. The others fall into ``BANDS`` buckets.
 * A bucket of n first proposes n - 1 edges, a star around its least id. Edges are verified
-  with whole signatures. Members that their centre doesn't match are compared with all
-  members of their bucket outside their component, so no link of a bucket is dropped.
+  with whole signatures.
+* Where a centre doesn't match some members, these may still match others of their bucket. Up to ``CLOSE`` members
+  are compared within a task. A larger bucket is split into overlapping ones, in which stars are drawn again: its
+  members fall into a bucket for each bin that they don't all share. Two signatures that agree in ``THRESHOLD`` of
+  their bins share such a bin until they share all that are needed, so no link is lost; sets of members that
+  come about more than once are kept once. What is still larger after ``SPLITS`` splits is compared within a task.
 * Groups are the connected components of the verified edges (large-star, small-star).
 """
 
@@ -18,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, c, documents, fresh, materialise, mix, small, text_chunks
 
@@ -25,6 +30,8 @@ SHINGLE = 3
 BINS = 128
 BANDS = 32
 THRESHOLD = 0.55
+#: Members of a bucket that are compared within a task, and how often a larger one is split.
+CLOSE, SPLITS = 16_384, 3
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -87,8 +94,16 @@ def _sign(key: str, text: str):
     return run
 
 
+def _hashed(part: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Hashes of the last axis of ``part``, from ``seed`` on."""
+    h = np.broadcast_to(seed, part.shape[:-1])
+    for j in range(part.shape[-1]):
+        h = mix(h + part[..., j] + np.uint64(0x9E3779B97F4A7C15))
+    return h
+
+
 def _bands(bands: int):
-    """(bucket, id) for each band of each signature."""
+    """(bucket, id) for each band of each signature; the bucket modulo ``bands`` is the band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,15 +111,38 @@ def _bands(bands: int):
                 continue
             sig = _matrix(b.column(1))
             rows = sig.shape[1] // bands
-            part = sig[:, : rows * bands].reshape(len(sig), bands, rows).astype(np.uint64)
-            h = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), part.shape[:2])
-            for j in range(rows):
-                h = mix(h + part[:, :, j] + np.uint64(0x9E3779B97F4A7C15))
+            nth = np.arange(bands, dtype=np.uint64)
+            h = _hashed(sig[:, : rows * bands].reshape(len(sig), bands, rows).astype(np.uint64), mix(nth + np.uint64(1)))
+            h = h - h % np.uint64(bands) + nth
             yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), bands))], names=["bucket", "id"])
 
     return run
 
 
+def _split(bands: int):
+    """Rows (bucket, id, signature, ok, shared): a row for each bin that the bucket's members don't all share, with
+    those they do, as 16 bytes of bits. Null stands for the bins of the band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
+                sig, bucket = _matrix(b.column(2)), b.column(0).to_numpy().view(np.uint64)
+                bins = np.arange(sig.shape[1])
+                shared = bins[None] // (sig.shape[1] // bands) == (bucket % np.uint64(bands)).astype(np.int64)[:, None]
+                known = b.column(4).is_valid().to_numpy(zero_copy_only=False)
+                if known.any():
+                    shared[known] = np.unpackbits(np.frombuffer(b"".join(b.column(4).drop_null().to_pylist()), np.uint8).reshape(-1, sig.shape[1] // 8), 1).astype(bool)
+                i, j = np.nonzero(~shared)
+                h = _hashed(sig[i, j, None].astype(np.uint64), mix(bucket[i] + mix(j.astype(np.uint64))))
+                now = np.packbits(shared, 1)[i]
+                now[np.arange(len(i)), j // 8] |= (128 >> j % 8).astype(np.uint8)
+                take = pa.array(i)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1).take(take), b.column(3).take(take), pa.array([x.tobytes() for x in now], pa.binary())], names=["bucket", "id", "ok", "shared"])
+
+    return run
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), -1)
 
@@ -200,37 +238,66 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", ke
 
     Two documents are linked when their signatures put the Jaccard similarity of their
     3-shingles at ``threshold`` or more; groups are closed under links. A document is its
-    id: repeated rows of an id count once (with the least signature), and rows
+    id, which may be of any type with an order: repeated rows of an id count once (with the least signature), and rows
     with a null id, or with a null, empty or wordless text, are in no group. A text of fewer
-    than three words has one shingle. An empty table gives an empty one; further columns
+    than three words has one shingle, and a text of any length is signed whole. An empty table gives an empty one; further columns
     are ignored.
     """
-    signed = docs.where(c(key).isNotNull() & c(text).isNotNull()).select(c(key).cast("bigint"), c(text)).mapInArrow(_sign(key, text), "id bigint, sig binary")
+    kind = docs.schema[key].dataType
+    signed = docs.where(c(key).isNotNull() & c(text).isNotNull()).select(c(key), c(text)).mapInArrow(_sign(key, text), f"id {kind.simpleString()}, sig binary")
+    if isinstance(kind, T.IntegralType):
+        return _grouped(spark, signed.withColumn("id", F.col("id").cast("bigint")), bands, threshold).select(F.col("id").cast(kind).alias("doc_id"), F.col("root").cast(kind).alias("dup_of"))
+    # keys of any other type are numbered in their order
+    signed = materialise(spark, signed, "signed")
+    numbers = materialise(spark, signed.select(F.col("id").alias("name")).distinct().orderBy("name").withColumn("n", F.monotonically_increasing_id()), "numbers")
+    out = _grouped(spark, signed.join(numbers, F.col("id") == F.col("name")).select(F.col("n").alias("id"), "sig"), bands, threshold)
+    of = lambda x: numbers.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"))
+    return out.join(of("doc_id"), F.col("id") == F.col("n_doc_id")).join(of("dup_of"), F.col("root") == F.col("n_dup_of")).select("doc_id", "dup_of")
+
+
+def _grouped(spark: SparkSession, signed: DataFrame, bands: int, threshold: float, close: int | None = None) -> DataFrame:
+    """(id, root) of the rows (id, signature) that aren't the least of their group."""
+    close = CLOSE if close is None else close
     signed = materialise(spark, signed, "signatures")
     # a minimum is combined before the shuffle, and joins split a hot key's rows: no group
     # of copies, however large, is ever one row or one task
     first = materialise(spark, signed.groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
-    copies = signed.join(first.where("n > 1").select("sig", F.col("id").alias("b")), "sig").select(F.col("id").alias("a"), "b")
+    edges = signed.join(first.where("n > 1").select("sig", F.col("id").alias("b")), "sig").select(F.col("id").alias("a"), "b")
     sigs = first.select("id", "sig")
-    members = sigs.mapInArrow(_bands(bands), "bucket bigint, id bigint")
-    centres = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = materialise(spark, members.join(centres, "bucket").where("id <> centre"), "stars")
-    pairs = stars.select("id", "centre").distinct()
     one = sigs.groupBy("id").agg(F.min("sig").alias("sig"))
-    both = pairs.join(one, "id").join(one.select(F.col("id").alias("centre"), F.col("sig").alias("sig2")), "centre").select("id", "centre", "sig", "sig2")
-    tried = materialise(spark, both.mapInArrow(_agree(threshold), "id bigint, centre bigint, ok boolean"), "tried")
-    # what its centre doesn't match is compared with its whole bucket, matched members too
-    judged = materialise(spark, stars.join(tried, ["id", "centre"]).select("bucket", "id", "ok"), "judged")
-    open_ = judged.where("not ok").select("bucket").distinct()
-    rest = judged.union(centres.select("bucket", F.col("centre").alias("id"), F.lit(True).alias("ok"))).join(open_, "bucket").join(one, "id")
-    rest = rest.select("bucket", "id", "sig", "ok").repartition("bucket").sortWithinPartitions("bucket", "id")
-    more = rest.mapInArrow(_more_links(threshold), "a bigint, b bigint")
-    edges = copies.union(tried.where("ok").select("id", "centre")).union(more)
-    return components(spark, edges).select(F.col("id").alias("doc_id"), F.col("root").alias("dup_of"))
+    members, shared = sigs.mapInArrow(_bands(bands), "bucket bigint, id bigint"), []
+    for left in range(SPLITS, -1, -1):
+        centres = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in shared]).where("n > 1")
+        stars = materialise(spark, members.select("bucket", "id").join(centres.select("bucket", "centre"), "bucket").where("id <> centre"), "stars")
+        both = stars.select("id", "centre").distinct().join(one, "id").join(one.select(F.col("id").alias("centre"), F.col("sig").alias("sig2")), "centre").select("id", "centre", "sig", "sig2")
+        tried = materialise(spark, both.mapInArrow(_agree(threshold), "id bigint, centre bigint, ok boolean"), "tried")
+        edges = edges.union(tried.where("ok").select("id", "centre"))
+        # what its centre doesn't match is compared with the rest of its bucket, matched members too
+        judged = materialise(spark, stars.join(tried, ["id", "centre"]).select("bucket", "id", "ok"), "judged")
+        open_ = materialise(spark, centres.join(judged.where("not ok").select("bucket").distinct(), "bucket"), "open")
+        if open_.isEmpty():
+            break
+        both = judged.union(open_.select("bucket", F.col("centre").alias("id"), F.lit(True).alias("ok")))
+        few = both.join(open_.where(F.col("n") <= close).select("bucket") if left else open_.select("bucket"), "bucket").join(one, "id")
+        few = few.select("bucket", "id", "sig", "ok").repartition("bucket").sortWithinPartitions("bucket", "id")
+        edges = edges.union(materialise(spark, few.mapInArrow(_more_links(threshold), "a bigint, b bigint"), "links"))
+        large = open_.where(F.col("n") > close).select("bucket", *(shared or [F.lit(None).cast("binary").alias("shared")]))
+        if not left or large.isEmpty():
+            break
+        many = both.join(large, "bucket").join(one, "id").select("bucket", "id", "sig", "ok", "shared")
+        parts = materialise(spark, many.mapInArrow(_split(bands), "bucket bigint, id bigint, ok boolean, shared binary"), "parts")
+        # a part in which all match the centre of the whole bucket has nothing to add
+        sets = parts.groupBy("bucket").agg(F.count("*").alias("size"), F.bool_and("ok").alias("done"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("which"), F.first("shared").alias("shared")).where("size > 1 and not done")
+        halves = [F.conv(F.hex(F.substring("shared", k, 8)), 16, -10).cast("bigint") for k in (1, 9)]
+        kept = sets.groupBy("size", "which").agg(F.min("bucket").alias("bucket"), *[F.bit_or(x).alias(f"s{k}") for k, x in enumerate(halves)])
+        kept = kept.select("bucket", F.unhex(F.concat(*[F.lpad(F.hex(f"s{k}"), 16, "0") for k in (0, 1)])).alias("shared"))
+        members, shared = materialise(spark, parts.drop("shared").join(kept, "bucket").select("bucket", "id", "shared"), "members"), ["shared"]
+    return components(spark, edges)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", bands: int = BANDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` doesn't report, all columns kept."""
+    """The rows of ``docs`` that :func:`near_duplicates` doesn't report, all columns kept, whatever their names.
+    Rows with a null id or a null, empty or wordless text stay, as do repeated rows of an id that stays."""
     (g,) = fresh(docs, "gone")
     gone = near_duplicates(spark, docs, text, key, bands, threshold).select(F.col("doc_id").alias(g))
     return docs.join(small(materialise(spark, gone, "gone"), 16), c(key) == c(g), "left_anti")
