@@ -118,7 +118,7 @@ def test_minhash(spark, edge, none):
         assert abs((s[0] == s[1]).mean() - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.25
 
 
-@pytest.mark.parametrize("size", [50, 1000])
+@pytest.mark.parametrize("size", [50, 300])
 def test_minhash_closes_buckets(spark, size):
     rng = random.Random(size)
     base = words(rng, 100, VOCABULARY).split()
@@ -142,6 +142,77 @@ def test_minhash_closes_buckets(spark, size):
     assert got == {i: r for i, r in enumerate(root) if r != i}
 
 
+@pytest.mark.parametrize("close", [20])
+def test_minhash_splits_crowded_buckets(spark, close):
+    """Signatures that share a band but little else, with pairs that agree hidden among them."""
+    rng = np.random.default_rng(close)
+    sigs = rng.integers(0, 1 << 16, (300, minhash_dedup.BINS)).astype(np.uint16)
+    sigs[:, :40] = sigs[0, :40]  # far below the threshold, but ten bands in common
+    for i in range(100, 130):  # as alike as the threshold just asks for
+        sigs[i] = np.where(np.arange(128) < 71, sigs[i - 100], sigs[i])
+    sigs[200:210, 40:] = np.where(rng.random((10, 88)) < 0.6, sigs[199, 40:], sigs[200:210, 40:])
+    rng.shuffle(sigs)
+    root = list(range(300))
+    for i in range(300):
+        for j in np.flatnonzero((sigs[:i] == sigs[i]).mean(1) >= minhash_dedup.THRESHOLD).tolist():
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sigs)], "id bigint, sig binary")
+    got = {r[0]: r[1] for r in minhash_dedup._grouped(spark, df, minhash_dedup.BANDS, minhash_dedup.THRESHOLD, close).collect()}
+    assert got == {i: r for i, r in enumerate(root) if r != i} and len(got) > 30
+
+
+def test_components(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(500, 560)]
+    root = {x: x for e in edges for x in e}
+    for a, b in edges:
+        lo, hi = sorted((root[a], root[b]))
+        root = {x: lo if r == hi else r for x, r in root.items()}
+    got = {r[0]: r[1] for r in minhash_dedup.components(spark, spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: r for x, r in root.items() if x != r}
+
+
+def test_keys_of_other_types(spark):
+    """Ids are strings; the columns have names that the operators use themselves."""
+    rng = random.Random(13)
+    base = [words(rng, 60, VOCABULARY) for _ in range(20)]
+    rows = [(f"d{i:03d}", t, "en", "s") for i, t in enumerate(base + base + [t + " more" for t in base])] + [(None, base[0], "en", "s")]
+    docs = spark.createDataFrame([(i, t, la, s, len(t)) for i, t, la, s in rows], DOCS.replace("doc_id bigint", "doc_id string"))
+    for x in ("kept", "kept_dup", "dup", "nth", "owner", "split", "x", "bytes", "trigrams", "ll_0", "q_0", "by_host", "gone", "copies", "grp"):
+        docs = docs.withColumn(x, F.lit(1))
+    near = {r[0]: r[1] for r in minhash_dedup.near_duplicates(spark, docs).collect()}
+    assert near == {f"d{i:03d}": f"d{i % 20:03d}" for i in range(20, 60)}
+    assert minhash_dedup.keep_one(spark, docs).count() == 21
+    for size in (200, 1 << 20):  # split hashes, and none
+        kept = exact_dedup.deduplicate(spark, docs, bucket_bytes=size)
+        assert kept.columns == docs.columns and sorted(r[0] for r in kept.select("doc_id").collect()) == [f"d{i:03d}" for i in (*range(20), *range(40, 60))]
+    assert sum(r["tokens"] for r in packing.pack_documents(spark, docs, capacity=64).collect()) == sum(len(t.split()) for _, t, _, _ in rows)
+    assert language_id.keep_known(spark, docs).columns == docs.columns
+    got = language_id.identify(spark, docs.drop("lang").withColumns({x: F.lit(None).cast("string") for x in ("markup", "suffix", "domain", "host")}), language_id.train(docs))
+    assert got.count() == 61 and {"bytes", "trigrams", "ll_0"} < set(got.columns)
+    with pytest.raises(ValueError):
+        language_id.identify(spark, got, language_id.train(docs))
+
+
+def test_packing_deals_equal_rows_apart(spark):
+    docs = docs_of(spark, [(7, "a b c", "en", "s")] * 5000 + [(8, "d " * 30, "en", "s")] * 100)
+    one = packing.pack_documents(spark, docs.coalesce(1), capacity=64, group=500)
+    many = packing.pack_documents(spark, docs.repartition(7), capacity=64, group=500)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    assert one.select(F.shiftright("bin_id", 32)).distinct().count() > 5 and one.agg(F.sum("tokens")).first()[0] == 18_000
+
+
+def test_fullest_completion():
+    rng = random.Random(14)
+    for _ in range(300):
+        sizes = sorted((rng.randrange(1, 30) for _ in range(rng.randrange(0, 9))), reverse=True)
+        room = rng.randrange(1, 60)
+        got = packing.fullest(sizes, list(range(len(sizes))), room)
+        sums = {sum(x) for k in range(len(sizes) + 1) for x in itertools.combinations(sizes, k)}
+        assert len(set(got)) == len(got) and sum(sizes[i] for i in got) == max(x for x in sums if x <= room)
+
+
 def test_packing(spark, edge, none):
     rng = random.Random(4)
 
@@ -218,6 +289,36 @@ def test_mixing(spark, edge, none, no_labels):
     some = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (4, 0, 1), (None, 1, 1), (5, None, None)], LABELS)
     assert mixing.mix_weights(spark, edge, some).count() == len(EDGE) and mixing.mix(spark, edge, some).columns == edge.columns
     assert mixing.mix(spark, none, some).count() == 0
+    # a domain without any label takes nothing from the others
+    m = mixing.fit_classifier(spark, docs, lab.where("toxic = 0"))
+    raw = [t.encode() for _, t, _, _ in rows[600:]]
+    slots = mixing._slots(mixing.Words(marks=True), np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    p = m.posteriors(m.scores(*slots, 300))
+    assert (p[held % 3 < 2, :2].argmax(1) == held[held % 3 < 2] % 3).mean() > 0.95 and np.isfinite(p).all()
+    # conflicting labels: toxic counts before plain, plain before good, in any order
+    a, b = (mixing.fit_classifier(spark, docs, lab.unionByName(lab.where("toxic = 1").withColumns({"toxic": F.lit(0), "quality": F.lit(1)})).orderBy(F.rand(k))) for k in (1, 2))
+    assert (a.log_word == b.log_word).all() and (a.tells == b.tells).all()
+
+
+def test_mixing_rates_are_least_squares(spark):
+    """The distributed descent against a dense one over documents, in the same metric."""
+    rng = np.random.default_rng(3)
+    p = np.rint(rng.dirichlet([0.4, 0.4, 0.4], 60) * mixing.GRID)
+    n = rng.integers(1, 500, 60)
+    grid = spark.createDataFrame([(int(m), *map(int, x)) for m, x in zip(n, p)], "n_tokens bigint, p_good int, p_plain int, p_toxic int").coalesce(1)
+    for targets, budget in (({"good": 0.6, "plain": 0.25, "toxic": 0.15}, None), ({"good": 0.8, "plain": 0.1, "toxic": 0.1}, 6000.0)):
+        steps, aim, got = mixing.solve(spark, grid, targets, budget)
+        q = p / mixing.GRID
+        A = (q * n[:, None]).T
+        scale = np.maximum(aim, 0.01 * A.sum(1))
+        loss = lambda w: float((((A @ w - aim) ** 2) / scale).sum())
+        w = np.ones(60)
+        size = 1 / np.linalg.eigvalsh((A / n) @ A.T / np.sqrt(scale)[:, None] / np.sqrt(scale)[None])[-1]
+        for _ in range(60_000):
+            w = np.maximum(0, w - size * (q @ ((A @ w - aim) / scale)))
+        mine = mixing.rates(q, steps)
+        assert (mine >= 0).all() and np.abs(A @ mine - got).max() < 1e-6 * got.sum()
+        assert loss(mine) <= loss(w) + 1e-3 * (loss(np.ones(60)) - loss(w)) + 1e-6 * aim.sum()
 
 
 def test_toxicity(spark, edge, none, no_labels):
@@ -340,6 +441,11 @@ def test_media(spark):
     half = {300 + i: np.rint(media._resized(base[i][None].astype(np.float32), 0.7071)[0]).astype(np.uint8) for i in range(12)}
     rows = [(i, png(p) if i % 2 else media.pgm(p)) for i, p in (px | half).items()] + [(400, png(base[1])), (401, png(base[1])), (402, None), (403, b""), (404, b"P5 junk"), (None, png(base[1])), (405, media.pgm(np.zeros((40, 40))))]
     assert (media.decode(png(base[0])) == base[0]).all() and (media.decode(media.pgm(base[0])) == base[0]).all() and media.decode(b"P5 junk") is None
+    whole = png(base[0])
+    palette = whole.replace(b"\x08\0\0\0\0", b"\x08\x03\0\0\0")
+    huge = whole[:16] + (60_000).to_bytes(4, "big") * 2 + whole[24:]
+    for bad in (whole[:8], whole[:20], whole[:40], palette, huge, whole[:33], whole[:60] + b"\xff" * 40, b"P6 3 3 255\n"):
+        assert media.decode(bad) is None
     df = spark.createDataFrame(rows, "image_id bigint, image binary").withColumn("id", F.lit("x"))
     parent = {}
 
