@@ -41,12 +41,22 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
     return F.when(size < n, F.array(low)).otherwise(F.filter(grams, lambda g: g.isNotNull()))
 
 
+def _split(text: str) -> list[str]:
+    low = text.lower()
+    # str.split() takes these four for white space, which they aren't
+    return _PY_BLANK.split(low) if any(x in low for x in "\x1c\x1d\x1e\x1f") else low.split()
+
+
+def _trim(x: str) -> str:
+    return x if x and x[0].isalnum() and x[-1].isalnum() else _PY_EDGE.sub("", x)
+
+
 def py_words_any(text: str) -> list[str]:
-    return [w for x in _PY_BLANK.split(text.lower()) if (w := _PY_EDGE.sub("", x))]
+    return [w for x in _split(text) if (w := x if x.isalnum() else _trim(x))]
 
 
 def py_words_long(text: str) -> list[str]:
-    return [w for x in _PY_BLANK.split(text.lower()) if len(x.encode()) > 2 and (w := _PY_EDGE.sub("", x))]
+    return [w for x in _split(text) if (len(x) > 2 or len(x.encode()) > 2) and (w := x if x.isalnum() else _trim(x))]
 
 
 def py_char_ngrams(text: str, n: int = 3) -> list[str]:

@@ -10,16 +10,23 @@ import json
 import math
 from abc import ABC, abstractmethod
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidArgument, UnsupportedProvider
 from ..functions import text as tx
+from .search import top_rows
+
+
+#: Texts embedded at a time, and terms that a task counts before it passes them on.
+BLOCK, HELD_TERMS = 1024, 1 << 20
 
 
 class Embedder(ABC):
@@ -46,10 +53,39 @@ class Embedder(ABC):
         return None
 
 
+def _counts(tokens: Callable[[str], list[str]], terms: bool):
+    """Rows (text): (term, occurrences, texts), and for the null term (all tokens, all texts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cf, df = Counter(), Counter()
+        n = length = 0
+
+        def held() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([None, *cf], pa.string()), pa.array([length, *cf.values()], pa.int64()), pa.array([n, *(df[t] for t in cf)], pa.int64())], names=["term", "cf", "df"])
+
+        for b in batches:
+            for t in b.column(0).drop_null().to_pylist():
+                toks = tokens(t)
+                n, length = n + 1, length + len(toks)
+                if terms:
+                    cf.update(toks)
+                    df.update(set(toks))
+            if len(cf) > HELD_TERMS:
+                yield held()
+                cf.clear(), df.clear()
+                n = length = 0
+        if n:
+            yield held()
+
+    return run
+
+
 class Lexical(Embedder):
     """Shared part: tokens, vocabulary, weights."""
 
     name = ""
+    #: Whether the vocabulary is chosen by inverse document frequency, and whether tokens count in place of texts.
+    by_idf = counts_tokens = False
 
     def __init__(self, dimension: int):
         self.dimension = dimension
@@ -57,35 +93,37 @@ class Lexical(Embedder):
         self.df: list[int] = []
         self.n_docs, self.mean_length = 0, 0.0
 
-    def tokens(self, text: Column) -> Column:
-        return tx.words_any(text)
-
     def py_tokens(self, text: str) -> list[str]:
         return tx.py_words_any(text)
 
     def order(self) -> list[Column]:
         return [F.col("cf").desc(), F.col("term").asc()]
 
+    def counted(self, df: DataFrame, text: str = "text", terms: bool = True) -> DataFrame:
+        """(term, cf, df) of all terms, and in the row of the null term the tokens and the number of texts. Texts are
+        read once; tasks count before anything is shuffled."""
+        part = df.select(F.col(text)).mapInArrow(_counts(self.py_tokens, terms), "term string, cf bigint, df bigint")
+        return part.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+
     def vocabulary(self, df: DataFrame, text: str = "text") -> DataFrame:
         """(term, cf, df) of the ``dimension`` best terms: one grouped count, then a top-k."""
-        toks = df.where(F.col(text).isNotNull()).select(self.tokens(F.col(text)).alias("t"))
-        if self.name in ("bow", "char_ngram"):
-            each = toks.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
-            return each.withColumn("df", F.col("cf")).orderBy(*self.order()).limit(self.dimension)
-        entry = lambda cf, df: lambda w: F.struct(w.alias("term"), F.lit(cf).cast("bigint").alias("cf"), F.lit(df).cast("bigint").alias("df"))
-        # occurrences and documents are counted in one pass and one shuffle
-        each = toks.select(F.explode(F.concat(F.transform("t", entry(1, 0)), F.transform(F.array_distinct("t"), entry(0, 1)))).alias("e")).select("e.*")
-        return each.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).orderBy(*self.order()).limit(self.dimension)
+        return self.counted(df, text).where("term is not null").orderBy(*self.order()).limit(self.dimension)
 
     def stats(self, df: DataFrame, text: str = "text") -> DataFrame:
         """One row (n_docs, mean_length)."""
-        return df.where(F.col(text).isNotNull()).select(F.size(self.tokens(F.col(text))).alias("n")).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean_length"))
+        n = self.counted(df, text, False).agg(F.coalesce(F.sum("df"), F.lit(0).cast("bigint")).alias("n_docs"), F.sum("cf").alias("tokens"))
+        return n.select("n_docs", F.coalesce(F.try_divide("tokens", "n_docs"), F.lit(0.0)).alias("mean_length"))
 
     def fit(self, df: DataFrame, text: str = "text") -> None:
-        self.n_docs, self.mean_length = self.stats(df, text).first()
-        rows = self.vocabulary(df, text).collect()  # at most ``dimension`` rows
+        if self.by_idf:
+            self.n_docs = df.where(F.col(text).isNotNull()).count()
+        # the row of totals, and at most ``dimension`` terms
+        rows = self.counted(df, text).orderBy(F.col("term").isNull().desc(), *self.order()).limit(self.dimension + 1).collect()
+        n, length = next(((r["df"], r["cf"]) for r in rows if r["term"] is None), (0, 0))
+        self.n_docs, self.mean_length = n, length / n if n else 0.0
+        rows = [r for r in rows if r["term"] is not None][: self.dimension]
         self.terms = {r["term"]: i for i, r in enumerate(rows)}
-        self.df = [r["df"] for r in rows]
+        self.df = [r["cf" if self.counts_tokens else "df"] for r in rows]
 
     def add_document(self, text: str) -> None:
         """New terms join, in order, while there is room; no place ever changes."""
@@ -99,19 +137,32 @@ class Lexical(Embedder):
                 self.terms[t] = len(self.terms)
                 self.df.append(1)
 
-    def weight(self, ix: int, count: int, length: int) -> float:
-        return float(count)
-
-    def from_tokens(self, toks: list[str]) -> np.ndarray:
-        v = np.zeros(self.dimension)
-        for t, n in Counter(toks).items():
-            if (i := self.terms.get(t)) is not None:
-                v[i] = self.weight(i, n, len(toks))
-        norm = math.sqrt(float(v @ v))
-        return (v / norm if norm > 0 else v).astype(np.float32)
+    def weights(self, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Weights from counts (texts x terms) and the number of tokens of each text."""
+        return count
+
+    def matrix(self, texts: list[str]) -> np.ndarray:
+        """Embeddings of texts as rows, of unit length or 0."""
+        out = np.zeros((len(texts), self.dimension))
+        get, k = self.terms.get, max(1, len(self.terms))
+        for lo in range(0, len(texts), BLOCK):
+            some = [self.py_tokens(t) for t in texts[lo : lo + BLOCK]]
+            length = np.array([len(x) for x in some], np.float64)
+            place = np.fromiter(map(get, chain.from_iterable(some), repeat(-1)), np.int64, int(length.sum()))
+            row = np.repeat(np.arange(len(some)), length.astype(np.int64))
+            known = place >= 0
+            count = np.bincount(row[known] * k + place[known], minlength=len(some) * k).reshape(len(some), k)
+            if self.terms:
+                w = self.weights(count, length[:, None])
+                norm = np.sqrt((w * w).sum(1, keepdims=True))
+                out[lo : lo + len(some), :k] = w / np.where(norm > 0, norm, 1)
+        return out
 
     def embed(self, text: str) -> list[float]:
-        return self.from_tokens(self.py_tokens(text)).tolist()
+        return self.matrix([text])[0].astype(np.float32).tolist()
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        return self.matrix(texts).astype(np.float32).tolist()
 
     def embed_column(self, text: Column) -> Column:
         """Vectors of a text column; null for null."""
@@ -119,9 +170,10 @@ class Lexical(Embedder):
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
-                yield s.map(lambda t: None if t is None else self.from_tokens(t))
+                known = s.dropna()
+                yield pd.Series(list(self.matrix(known.tolist()).astype(np.float32)), known.index, object).reindex(s.index)
 
-        return run(self.tokens(text))
+        return run(text)
 
     def export_state(self) -> bytes:
         return json.dumps({"type": self.name, "terms": list(self.terms), "df": self.df, "n_docs": self.n_docs, "mean_length": self.mean_length}).encode()
@@ -135,17 +187,14 @@ class Lexical(Embedder):
 class Bm25(Lexical):
     name, k1, b = "bm25", 1.5, 0.75
 
-    def weight(self, ix: int, count: int, length: int) -> float:
-        idf = math.log((self.n_docs - self.df[ix] + 0.5) / (self.df[ix] + 0.5) + 1)
-        mean = self.mean_length or 1.0
-        return idf * count * (self.k1 + 1) / (count + self.k1 * (1 - self.b + self.b * length / mean))
+    def weights(self, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+        df = np.array(self.df, np.float64)
+        idf = np.log((self.n_docs - df + 0.5) / (df + 0.5) + 1)
+        return idf * count * (self.k1 + 1) / (count + self.k1 * (1 - self.b + self.b * length / (self.mean_length or 1.0)))
 
 
 class TfIdf(Lexical):
-    name = "tfidf"
-
-    def tokens(self, text: Column) -> Column:
-        return tx.words_long(text)
+    name, by_idf = "tfidf", True
 
     def py_tokens(self, text: str) -> list[str]:
         return tx.py_words_long(text)
@@ -154,26 +203,24 @@ class TfIdf(Lexical):
         idf = F.greatest(F.lit(0.0), F.log(F.lit(float(max(1, self.n_docs))) / F.col("df")))
         return [(F.col("cf") * idf).desc(), F.col("term").asc()]
 
-    def weight(self, ix: int, count: int, length: int) -> float:
-        return count / max(1, length) * max(0.0, math.log(self.n_docs / self.df[ix])) if self.n_docs else 0.0
+    def weights(self, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+        if not self.n_docs:
+            return np.zeros(count.shape)
+        return count / np.maximum(1, length) * np.maximum(0.0, np.log(self.n_docs / np.array(self.df, np.float64)))
 
 
 class BagOfWords(Lexical):
-    name = "bow"
-    tokens = TfIdf.tokens
+    name, counts_tokens = "bow", True
     py_tokens = TfIdf.py_tokens
 
 
 class CharNgram(Lexical):
-    name = "char_ngram"
+    name, counts_tokens = "char_ngram", True
 
     def __init__(self, dimension: int, n: int = 3):
         super().__init__(dimension)
         self.n = n
 
-    def tokens(self, text: Column) -> Column:
-        return tx.char_ngrams(text, self.n)
-
     def py_tokens(self, text: str) -> list[str]:
         return tx.py_char_ngrams(text, self.n)
 
@@ -186,7 +233,7 @@ class Svd(TfIdf):
 
     def __init__(self, dimension: int):
         super().__init__(self.WIDTH)
-        self.out, self.matrix = dimension, None
+        self.out, self.axes = dimension, None
 
     def fit(self, df: DataFrame, text: str = "text") -> None:
         super().fit(df, text)
@@ -201,12 +248,12 @@ class Svd(TfIdf):
 
         rng = np.random.default_rng(zlib.crc32("\0".join(self.terms).encode()))
         q, _ = np.linalg.qr(rng.uniform(-1, 1, (self.WIDTH, max(1, min(self.out, self.WIDTH)))))
-        self.matrix = np.pad(q, [(0, 0), (0, self.out - q.shape[1])])
+        self.axes = np.pad(q, [(0, 0), (0, self.out - q.shape[1])])
 
-    def from_tokens(self, toks: list[str]) -> np.ndarray:
-        if self.matrix is None:
-            return np.zeros(self.out, np.float32)
-        return (super().from_tokens(toks).astype(np.float64) @ self.matrix).astype(np.float32)
+    def matrix(self, texts: list[str]) -> np.ndarray:
+        if self.axes is None:
+            return np.zeros((len(texts), self.out))
+        return super().matrix(texts) @ self.axes
 
 
 class Onnx(Embedder):
@@ -251,12 +298,27 @@ def available_providers() -> list[str]:
     return sorted(PROVIDERS)
 
 
-def text_search(df: DataFrame, embedder: Lexical, query: str, k: int = 10, id: str = "id", text: str = "text", slot: str | None = None) -> DataFrame:
-    """(id, slot, score): cosine of embedded texts and query; nothing for a query without known terms."""
-    from .search import knn
+def _nearest(embedder: Lexical, q: np.ndarray, k: int):
+    """Rows (id, slot, text): (id, slot, score) of the best ``k`` of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(b.column(2).is_valid())
+            if b.num_rows:
+                s = np.clip(embedder.matrix(b.column(2).to_pylist()) @ q, -1.0, 1.0).astype(np.float32)
+                best = pa.array(top_rows(-s, b.column(1), k))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(best), b.column(1).take(best), pa.array(s).take(best)], names=["id", "slot", "score"])
+
+    return run
 
-    q = embedder.embed(query)
-    rows = df.select(F.col(id).alias("id"), F.col(slot or id).alias("slot"), embedder.embed_column(F.col(text)).alias("vector"))
-    if not any(q):
+
+def text_search(df: DataFrame, embedder: Lexical, query: str, k: int = 10, id: str = "id", text: str = "text", slot: str | None = None) -> DataFrame:
+    """(id, slot, score): cosine of embedded texts and query, the best ``k`` by score, then slot; nothing for a query
+    without known terms. Texts are embedded and scored where they are read; ``k`` rows of a batch go on."""
+    q = embedder.matrix([query])[0]
+    rows = df.select(F.col(id).alias("id"), F.col(slot or id).alias("slot"), F.col(text).alias("text"))
+    kinds = dict(rows.dtypes)
+    if not q.any():
         return rows.select("id", "slot", F.lit(0.0).cast("float").alias("score")).limit(0)
-    return knn(rows, q, k, "cosine", slot="slot", normalized=True)
+    near = rows.mapInArrow(_nearest(embedder, q, k), f"id {kinds['id']}, slot {kinds['slot']}, score float")
+    return near.orderBy(F.col("score").desc(), "slot").limit(k)

@@ -28,14 +28,20 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 def scores(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     """(queries x rows). Cosine expects unit vectors."""
+    if metric == "euclidean":  # from the differences: no cancellation, whatever the size of a batch
+        return np.stack([np.sqrt(((rows - q) ** 2).sum(1)) for q in queries]) if len(queries) else np.zeros((0, len(rows)))
     dots = queries @ rows.T
-    if metric == "euclidean":
-        if rows.shape[1] * len(rows) * len(queries) <= 1 << 24:  # directly, where that is cheap: no cancellation
-            return np.sqrt(((queries[:, None, :] - rows[None]) ** 2).sum(2))
-        return np.sqrt(np.maximum((queries**2).sum(1)[:, None] + (rows**2).sum(1)[None] - 2 * dots, 0.0))
     return np.clip(dots, -1.0, 1.0) if metric == "cosine" else dots
 
 
+def top_rows(key: np.ndarray, order: pa.Array, k: int) -> np.ndarray:
+    """Places of the ``k`` least keys, ties by ``order``, in order."""
+    top = np.arange(len(key))
+    if len(top) > k:
+        top = np.flatnonzero(key <= np.partition(key, k - 1)[k - 1])
+    return top[np.lexsort((order.take(pa.array(top)).to_numpy(zero_copy_only=False), key[top]))[:k]]
+
+
 def _best(queries, metric: str, k: int, unit_rows: bool):
     """Rows (id, order, vector): (qid, id, order, score) of the best k of each batch and query."""
     ids, q = queries
@@ -49,13 +55,9 @@ def _best(queries, metric: str, k: int, unit_rows: bool):
                 n = np.sqrt((m * m).sum(1, keepdims=True))
                 m = m / np.where(n > 0, n, 1)
             s = scores(m, q, metric).astype(np.float32)
-            order = b.column(1).to_numpy(zero_copy_only=False)
             key = s if metric == "euclidean" else -s
             for j in range(0, len(q)):
-                top = np.arange(len(m))
-                if len(top) > k:
-                    top = np.flatnonzero(key[j] <= np.partition(key[j], k - 1)[k - 1])
-                top = pa.array(top[np.lexsort((order[top], key[j][top]))[:k]])
+                top = pa.array(top_rows(key[j], b.column(1), k))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), ids[j])), b.column(0).take(top), b.column(1).take(top), pa.array(s[j][top.to_numpy()])], names=["qid", "id", "slot", "score"])
 
     return run

@@ -216,7 +216,7 @@ def _vocabulary(spark, d, name: str, columns=("term", "cf", "df")) -> DataFrame:
     e = lexical.build_provider(name, _DIM)
     docs = _t(spark, d, "documents").select("text")
     if name == "tfidf":
-        e.n_docs = e.stats(docs).first()[0]
+        e.n_docs = docs.where("text is not null").count()
     return e.vocabulary(docs).select(*columns)
 
 
@@ -259,19 +259,16 @@ qw AS (SELECT term, {weight} AS y FROM qt JOIN vocab USING (term)),
 dn AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM w GROUP BY 1),
 qn AS (SELECT sqrt(sum(y * y)) AS norm FROM qw),
 s AS (SELECT doc_id, sum(x * y) AS dot FROM w JOIN qw USING (term) GROUP BY 1),
-f AS (SELECT toks.doc_id AS id, round(coalesce(dot / (dn.norm * (SELECT norm FROM qn)), 0.0), 4) AS score FROM toks LEFT JOIN s USING (doc_id) LEFT JOIN dn USING (doc_id))
-SELECT id, score FROM f ORDER BY score DESC, id LIMIT 10"""
+f AS (SELECT toks.doc_id AS id, coalesce(dot / (dn.norm * (SELECT norm FROM qn)), 0.0)::FLOAT AS score FROM toks LEFT JOIN s USING (doc_id) LEFT JOIN dn USING (doc_id))
+SELECT id, round(score::DOUBLE, 5) AS score FROM f ORDER BY f.score DESC, id LIMIT 10"""
     )
 
 
 def _searched(spark, d, name: str) -> DataFrame:
-    """Top 10 by the rounded score, so both sides break ties alike."""
     e = lexical.build_provider(name, _DIM)
     docs = _t(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
     e.fit(docs)
-    q = vectors.lit_vector(e.embed(_ASKED))
-    rows = docs.select("id", F.round(vectors.dot(e.embed_column(F.col("text")), q), 4).alias("score"))
-    return rows.orderBy(F.col("score").desc(), "id").limit(10)
+    return _shown(lexical.text_search(docs, e, _ASKED).select("id", "score"))
 
 
 @_query(_search_sql(_ANY, "ln((n - df + 0.5) / (df + 0.5) + 1) * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * dl / mean))"))
