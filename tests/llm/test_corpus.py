@@ -346,6 +346,25 @@ def test_toxicity(spark, edge, none, no_labels):
     assert [raw[a:b].tobytes() for a, b in zip(lo, hi)] == [b" ab ", b" c d ", b" d e ", b" e f ", b" f g "] and text.tolist() == [0, 2, 2, 2, 2]
 
 
+def test_toxicity_scores_are_compressed_lengths(spark):
+    """Every window compressed by itself, and every run of windows tried."""
+    rng = random.Random(15)
+    rows = [(i, " ".join([*(rng.choice(VOCABULARY) for _ in range(30)), *(["Wretchling!"] * (i % 3 == 0)), *(rng.choice(VOCABULARY) for _ in range(10))]), "en", "s") for i in range(240)]
+    docs, labels = docs_of(spark, rows + [(500, None, "en", "s"), (501, "  ?", "en", "s"), (502, "wretchling", "en", "s")]), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], LABELS)
+    sent, llr, usual, least = toxicity.train(spark, docs, labels)
+    ordinary, toxic = (toxicity.compressor(x) for x in sent.value[toxicity.PARTS])
+    assert b"wretchling" in sent.value[toxicity.PARTS][1][-40:]
+    got = {r["doc_id"]: r for r in toxicity.score(spark, docs, labels).collect()}
+    for i, t, *_ in rows[::20] + [(500, "", 0, 0), (501, "  ?", 0, 0), (502, "wretchling", 0, 0)]:
+        w = "".join(ch.lower() if ch.isalnum() else " " for ch in t).split()
+        cuts = [w[k : k + toxicity.WINDOW] for k in range(0, max(1, len(w) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)] if w else []
+        raw = [(" " + " ".join(x) + " ").encode() for x in cuts]
+        points = [llr[len(ordinary.compress(x)) - len(toxic.compress(x)) + toxicity.MOST] for x in raw]
+        best = max([0.0, *(sum(points[a:b]) for a in range(len(points)) for b in range(a + 1, len(points) + 1))])
+        want = best - math.log(max(1, len(points) / usual))
+        assert got[i]["score"] == pytest.approx(want) and got[i]["n_windows"] == len(cuts) and got[i]["toxic"] == (want > least)
+
+
 def test_toxicity_of_long_documents(spark):
     rng = random.Random(11)
     bad = ["wretchling", "gutterfool", "nastyface"]
