@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import c, documents, materialise, shared_folder, text_chunks
 
-DEPTH = 4
+#: Bytes of context: as many as fit a 64-bit number with the byte itself.
+DEPTH = 7
 #: Grams in a task of the tree, and in a task's count before it is passed on.
 TASK_GRAMS, HELD_GRAMS = 2_000_000, 4_000_000
 _TAIL = np.uint64(8 * (DEPTH - 2) + 8)
@@ -178,8 +179,8 @@ class Prices:
     """The files of prices, mapped into memory."""
 
     def __init__(self, files: list[tuple[str, int]]):
-        files = sorted(files, key=lambda x: x[1])
-        self.least = np.array([x for _, x in files], np.uint64)
+        files = sorted(files, key=lambda x: x[1] % (1 << 64))
+        self.least = np.array([x % (1 << 64) for _, x in files], np.uint64)
         self.parts = [(np.load(f"{x}.key.npy", mmap_mode="r"), np.load(f"{x}.cost.npy", mmap_mode="r")) for x, _ in files]
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
@@ -216,7 +217,7 @@ def model(spark: SparkSession, docs: DataFrame) -> list[tuple[str, int]]:
     counted = docs.select(c("text")).where(c("text").isNotNull()).mapInArrow(_count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     counted = materialise(spark, counted, "grams")
     tasks = max(1, -(-counted.count() // TASK_GRAMS), spark.sparkContext.defaultParallelism)
-    ranged = counted.repartitionByRange(tasks, F.shiftright("gram", int(_TAIL)))
+    ranged = counted.repartitionByRange(tasks, F.shiftrightunsigned("gram", int(_TAIL)))
     top = ranged.mapInArrow(_upper, "id bigint, n0 double, n1 double, below double").groupBy("id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("id").toArrow()
     one = Level(top["id"].to_numpy().view(np.uint64), *(top[x].to_numpy() for x in ("n0", "n1", "below")))
     if not len(one.ids):
@@ -231,7 +232,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     its texts.
 
     A null or empty text has 0 bytes and bits, and null bits per byte. Repeated rows count as
-    often as they come and score alike; ids may be null. A table without text gives such
+    often as they come and score alike; ids may be null. Texts of any length are scored whole, from their first byte. A table without text gives such
     rows only, an empty one none; further columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
