@@ -1,4 +1,9 @@
-"""Licence notices and texts to look for: (identifier, text). Several may share one identifier."""
+"""Licence notices and texts to look for: (identifier, text). Several may share one identifier.
+
+The whole texts of the longer licences are in ``license_bodies.txt``, each after a form feed and its identifier.
+"""
+
+from pathlib import Path
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
@@ -98,4 +103,5 @@ original software. 3. This notice may not be removed or altered from any source
     ),
     *((x, f"SPDX-License-Identifier: {x}") for x in _SPDX),
     *((x, f"{how} under {what}") for x, what in _NOTICES for how in ("Released", "Licensed", "Distributed", "This work is licensed", "Available")),
+    *(tuple(x.split("\n", 1)) for x in (Path(__file__).parent / "license_bodies.txt").read_text("utf-8").split("\f")[1:]),
 ]

@@ -29,9 +29,12 @@ COVERED, TOKENS = 0.8, 40
 
 
 class Automaton:
-    """Suffix automaton of several token sequences."""
+    """Suffix automaton of several token sequences, or one of ``parts`` made before."""
 
-    def __init__(self, sequences: list[list[int]]):
+    def __init__(self, sequences: list[list[int]], parts: tuple | None = None):
+        if parts is not None:
+            self.next, self.link, self.length, self.ends = parts
+            return
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends: list[list[tuple[int, int]]] = [[]]
@@ -126,14 +129,23 @@ def chains(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES):
-        self.words, self.names = Words(), [x for x, _ in templates]
+    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, state: tuple | None = None):
+        self.words = Words()
+        if state is not None:
+            self.names, self.sizes, self.grams, parts = state
+            self.sam = Automaton([], parts)
+            return
+        self.names = [x for x, _ in templates]
         data = [np.frombuffer(t.encode(), np.uint8) for _, t in templates]
         seqs = [self.words(d, np.array([0, len(d)]))[0] for d in data]
         self.sizes = [len(s) for s in seqs]
         self.sam = Automaton([s.tolist() for s in seqs])
         self.grams = np.unique(np.concatenate([self._grams(s) for s in seqs]))
 
+    def state(self) -> tuple:
+        """All of it in plain lists and arrays, for a worker that may not have this package."""
+        return self.names, self.sizes, self.grams, (self.sam.next, self.sam.link, self.sam.length, self.sam.ends)
+
     @staticmethod
     def _grams(h: np.ndarray) -> np.ndarray:
         acc = np.zeros(max(0, len(h) - MIN_MATCH + 1), np.uint64)
@@ -182,9 +194,9 @@ class Scanner:
                 yield d, spans
 
 
-def _scan(templates):
+def _scan(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scanner(templates)
+        scan = Scanner(state=sent.value)
         for b in batches:
             for lo, hi, data, offs in text_chunks(b.column(0)):
                 rows = [(lo + d, *s) for d, spans in scan(data, offs) for s in spans]
@@ -203,13 +215,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
     Tokens are runs of letters and digits in lower case; ``end_token`` is the one after the last. A
     span counts if it covers ``COVERED`` of its template, or ``TOKENS`` tokens of it. Of
     spans that overlap by half the one with more tokens stays, then the more complete, the
-    earlier, the first by name. Null, empty and wordless texts have no
+    earlier, the first by name. Texts of any length are scanned whole. Null, empty and wordless texts have no
     span; repeated rows give repeated spans; ids may be null. An empty table gives an empty
     one; further columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, license string, first_token bigint, end_token bigint, matched bigint, coverage double"
-    return docs.select(c("text"), c("doc_id")).mapInArrow(_scan(TEMPLATES if templates is None else templates), shape)
+    # the automaton is as large as the templates make it, at any size of the input
+    sent = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates).state())
+    return docs.select(c("text"), c("doc_id")).mapInArrow(_scan(sent), shape)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
