@@ -444,6 +444,34 @@ def test_licences(spark, edge, none):
     assert licenses.scan(edge).count() == 0 == licenses.scan(none).count()
 
 
+def test_licence_bodies_and_chains(spark):
+    bodies = [(n, t) for n, t in licenses.TEMPLATES if len(t) > 5000]
+    assert {n for n, _ in bodies} >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"}
+    rows = [(i, "words before " * 9 + t.replace("\n", "\n * ") + " words after", "en", "s") for i, (_, t) in enumerate(bodies)]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, rows)).where("coverage > 0.95").collect()}
+    assert all(got[i]["license"] == n and got[i]["first_token"] == 18 for i, (n, _) in enumerate(bodies))
+    rng = random.Random(16)
+    gap = licenses.GAP
+    for _ in range(300):
+        found = sorted({(rng.randrange(60), rng.randrange(60), rng.randrange(4, 9)) for _ in range(rng.randrange(1, 8))})
+
+        def longest(path, n):
+            best = n
+            x, y, m = path[-1]
+            for a, b, k in found:
+                over = max(0, x + m - a, y + m - b)
+                if a > x and b > y and over < k and a - x - m <= gap and b - y - m <= gap:
+                    best = max(best, longest([*path, (a, b, k)], n + k - over))
+            return best
+
+        out = licenses.chains(found)
+        assert max(n for _, _, n in out) == max(longest([f], f[2]) for f in found)
+        assert all(lo < hi and 0 < n <= hi - lo for lo, hi, n in out)
+    scan = licenses.Scanner([("A", "a b c d e f g h"), ("B", "c d e f g h i j k l m n")])
+    assert scan.spans({0: [(0, 0, 8)], 1: [(2, 0, 6)]}) == [("A", 0, 8, 8, 1.0)]
+    assert scan.spans({0: [(2, 2, 6)], 1: [(2, 0, 12)]}) == [("B", 2, 14, 12, 1.0)]
+
+
 def png(px):
     raw = b"".join(bytes([2 * (y > 0)]) + (row.astype(int) - (px[y - 1] if y else 0)).astype(np.uint8).tobytes() for y, row in enumerate(px))
     part = lambda k, d: len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big")
