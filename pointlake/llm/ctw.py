@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import c, documents, materialise, shared_folder, text_chunks
 
-#: Bytes of context: as many as fit a 64-bit number with the byte itself.
-DEPTH = 7
+#: Bytes of context; seven would fit a 64-bit number with the byte itself.
+DEPTH = 6
 #: Grams in a task of the tree, and in a task's count before it is passed on.
-TASK_GRAMS, HELD_GRAMS = 2_000_000, 4_000_000
+TASK_GRAMS, HELD_GRAMS, BATCH = 2_000_000, 1_500_000, 1 << 16
 _TAIL = np.uint64(8 * (DEPTH - 2) + 8)
 
 
@@ -52,23 +52,25 @@ def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def merged() -> pa.RecordBatch:
+    def merge() -> int:
         k, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([x for _, x in held])).astype(np.int64)
-        held[:] = [(k, n)]
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["gram", "n"])
+        held[:] = [(k, np.bincount(at, np.concatenate([x for _, x in held])).astype(np.int64))]
+        return len(k)
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        k, n = held.pop()
+        for lo in range(0, len(k), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + BATCH].view(np.int64)), pa.array(n[lo : lo + BATCH])], names=["gram", "n"])
 
     for b in batches:
         for _, _, data, offs in text_chunks(b.column(0), 2 << 20):
             if len(data):
                 held.append(np.unique(grams(data, offs), return_counts=True))
-        if sum(len(x) for x, _ in held) > HELD_GRAMS:
-            out = merged()
-            if out.num_rows > HELD_GRAMS // 2:
-                held.clear()
-                yield out
+            if sum(len(x) for x, _ in held) > HELD_GRAMS and merge() > HELD_GRAMS // 2:
+                yield from passed()
     if held:
-        yield merged()
+        merge()
+        yield from passed()
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -214,7 +216,8 @@ def model(spark: SparkSession, docs: DataFrame) -> list[tuple[str, int]]:
     if "://" in folder:
         raise ValueError("the folder in spark.checkpoint.dir must be mounted on the executors")
     os.makedirs(folder)
-    counted = docs.select(c("text")).where(c("text").isNotNull()).mapInArrow(_count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = docs.select(c("text")).where(c("text").isNotNull()).mapInArrow(_count, "gram bigint, n bigint")
+    counted = counted.repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"))  # tasks have summed already: no second sum before the shuffle
     counted = materialise(spark, counted, "grams")
     tasks = max(1, -(-counted.count() // TASK_GRAMS), spark.sparkContext.defaultParallelism)
     ranged = counted.repartitionByRange(tasks, F.shiftrightunsigned("gram", int(_TAIL)))
