@@ -88,6 +88,12 @@ class Filter:
         self.validate()
         return self._compile(payload if variant else F.try_parse_json(payload))
 
+    def prune(self, indexes: dict[str, str]) -> Column | None:
+        """What every match satisfies in the typed columns of declared indexes (``pidx_<key>_<kind>``), for the scan to
+        skip by; the filter itself is still to be applied. None if the indexes say nothing."""
+        parts = [p for x in self.must if (p := _bounds(x, indexes)) is not None]
+        return reduce(lambda a, b: a & b, parts) if parts else None
+
     def _compile(self, v: Column) -> Column:
         parts = [_leaf(x, v) for x in self.must] + [~_leaf(x, v) for x in self.must_not]
         if self.should:
@@ -166,6 +172,32 @@ def _leaf(x: Condition, v: Column) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, [ops[op](F.lit(b)) for op, b in x.value], _number(kind)), F.lit(False))
 
 
+def _bounds(x: Condition, indexes: dict[str, str]) -> Column | None:
+    if x.kind == "nested":
+        return x.value.prune(indexes)
+    if (kind := indexes.get(x.key)) is None:
+        return None
+    col = F.col(f"`pidx_{x.key}_{kind}`")
+    if x.kind == "exists":
+        return None
+    if x.kind == "range":
+        if kind == "keyword" or not x.value:
+            return None
+        # an integer column holds a fraction without its digits, and nothing for what is too large
+        low, high = (-1, 1) if kind == "integer" else (0, 0)
+        side = {"gt": lambda b: col >= b + low, "gte": lambda b: col >= b + low, "lt": lambda b: col <= b + high, "lte": lambda b: col <= b + high}
+        held = reduce(lambda a, b: a & b, [side[op](b) for op, b in x.value])
+        return held | col.isNull() if kind == "integer" else held
+    values = [x.value] if x.kind == "eq" else list(x.value)
+    if kind == "keyword":
+        return col.isin(values) if values and all(isinstance(v, str) for v in values) else None
+    if not values or not all(isinstance(v, int) and not isinstance(v, bool) and abs(v) < 1 << 53 for v in values):
+        return None
+    if kind == "float":
+        return col.isin([float(v) for v in values])
+    return (col >= min(values) - 1) & (col <= max(values) + 1)
+
+
 def as_filter(spec: Filter | dict | None) -> Filter:
     if spec is None:
         return Filter()

@@ -13,7 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,8 @@ from ..sources import store as st
 from .query import Hit, HybridQuery, SparseQuery, VectorQuery, _limit
 
 MAX_DIMENSION, MAX_PAYLOAD, MAX_ID, MAX_NAME = 65536, 16 << 20, 512, 255
-INDEX_KINDS = {"keyword": "string", "integer": "bigint", "float": "double"}
+#: Rows written since the last checkpoint whose ids (of at most ``MAX_ID`` bytes) are broadcast.
+DELTA_ROWS = 50_000
 
 
 @dataclass
@@ -105,19 +106,33 @@ class Collection:
         return self._db._store.scan(self._entry["parts"])
 
     def live(self) -> DataFrame:
-        """The latest row of each id that isn't deleted, with the columns of declared indexes. A sealed
-        collection has one row an id and needs no shuffle."""
-        e, rows = self._entry, self._raw()
-        if e.get("sealed") and len(e["parts"]) <= 1:
-            out = rows.where("not deleted")
-        else:
-            rest = [c for c in st.SCHEMA.names if c not in ("id", "ver")]
-            out = rows.groupBy("id").agg(F.max_by(F.struct(*rest), "ver").alias("r")).where("not r.deleted").select("id", "r.*")
-        out = out.select("id", "slot", "vector", "sparse", "payload")
-        for key, kind in e["indexes"].items():
-            f = F.try_variant_get(F.try_parse_json("payload"), f"$['{key}']", "variant")
-            out = out.withColumn(f"pidx_{key}_{kind}", F.try_variant_get(f, "$", INDEX_KINDS[kind]))
-        return out
+        """The latest row of each id that isn't deleted, with the columns of declared indexes.
+
+        Sealed parts have one row an id. Only what was written since is grouped by id, and takes the place of the
+        sealed rows of its ids; these are never shuffled while the ids are few."""
+        e = self._entry
+        sealed = [p for p in e["parts"] if p.get("sealed")] or (e["parts"] if e.get("sealed") and len(e["parts"]) <= 1 else [])
+        later = [p for p in e["parts"] if p not in sealed]
+        columns = ["id", "slot", "vector", "sparse", "payload", *st.index_columns(e["indexes"])]
+        base = self._db._store.scan(sealed, e["indexes"]).where("not deleted").select(*columns)
+        if not later:
+            return base
+        rows = self._db._store.scan(later, e["indexes"])
+        rest = [c for c in columns if c != "id"]
+        latest = rows.groupBy("id").agg(F.max_by(F.struct("deleted", *rest), "ver").alias("r")).where("not r.deleted").select("id", *[F.col(f"r.`{c}`") for c in rest])
+        if not sealed:
+            return latest
+        ids = rows.select("id").distinct()
+        ids = F.broadcast(ids) if sum(p["rows"] for p in later) <= DELTA_ROWS else ids
+        return base.join(ids, "id", "left_anti").unionByName(latest)
+
+    def matching(self, f: Filter) -> DataFrame:
+        """Live rows that satisfy a filter; declared indexes let the scan skip row groups."""
+        rows = self.live()
+        if f.is_empty():
+            return rows
+        bounds = f.prune(self._entry["indexes"])
+        return (rows if bounds is None else rows.where(bounds)).where(f.compile(F.col("payload")))
 
     def __len__(self) -> int:
         if self._db._store.manifest["collections"].get(self._key) is None:
@@ -199,7 +214,7 @@ class Collection:
         """Rows in order; places rise along the sorted partitions, with gaps between them."""
         e = self._entry
         out = ordered.withColumn("ver", F.monotonically_increasing_id() + F.lit(e["next"])).withColumns({"slot": F.col("ver"), "deleted": F.lit(False)})
-        part = self._db._store.add_frame(self._key, out)
+        part = self._db._store.add_frame(self._key, out, e["indexes"])
         top = self._db._store.scan([part]).agg(F.max("ver")).first()[0]
         if top is not None:
             e["next"] = top + 1
@@ -213,14 +228,15 @@ class Collection:
     def delete_batch(self, ids: Sequence[str]) -> int:
         """How many existed; a repeated id counts once."""
         self._db._store.guard()
-        have = [r[0] for r in self.live().where(F.col("id").isin(list(set(ids)))).select("id").collect()]
+        asked = self._db.spark.createDataFrame(pd.DataFrame({"id": sorted(set(ids))}), "id string")
+        have = [r[0] for r in self.live().select("id").join(asked, "id").collect()]  # of the ids at hand
         self._append([{"id": x, "vector": None, "sparse": None, "payload": None, "deleted": True} for x in have])
         return len(have)
 
     def delete_where(self, spec: Filter | dict) -> int:
         """As :meth:`delete_batch` for all that match, without leaving the executors."""
         self._db._store.guard()
-        gone = self.live().where(as_filter(spec).compile(F.col("payload")))
+        gone = self.matching(as_filter(spec))
         with self._mutex:
             e = self._entry
             rows = gone.select("id", F.lit(None).cast("bigint").alias("slot"), (F.lit(e["next"]) + F.monotonically_increasing_id()).alias("ver"), F.lit(True).alias("deleted"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast(st.SPARSE).alias("sparse"), F.lit(None).cast("string").alias("payload"))
@@ -252,7 +268,7 @@ class Collection:
         f = as_filter(filter)
         for v in vectors:
             VectorQuery(self, v).limit(limit).filter(f).check()
-        rows = self.live() if f.is_empty() else self.live().where(f.compile(F.col("payload")))
+        rows = self.matching(f)
         return ops.batch_knn(rows, vectors, limit, self.metric, slot="slot", normalized=True).drop("slot")
 
     def search_sparse(self, sparse: dict, limit: int = 10) -> list[Hit]:
@@ -270,7 +286,7 @@ class Collection:
         """A page in stable order after the row ``after``, or the place it last had."""
         _limit(limit)
         f = as_filter(filter)
-        rows = self.live() if f.is_empty() else self.live().where(f.compile(F.col("payload")))
+        rows = self.matching(f)
         if after is not None:
             at = self._raw().where((F.col("id") == after) & F.col("slot").isNotNull()).agg(F.max("slot")).first()[0]
             rows = rows.where(F.col("slot") > at) if at is not None else rows
@@ -283,8 +299,9 @@ class Collection:
         return {"name": e["name"], "dimension": self.dimension, "len": n, "tombstones": e["slots"] - n, "auto_embed": bool(e["config"]["provider"]), "metric": self.metric, "payload_indexes": dict(e["indexes"])}
 
     def create_payload_index(self, key: str, kind: str) -> None:
-        """A typed column ``pidx_<key>_<kind>`` in :meth:`live`; filters keep their own semantics."""
-        if kind not in INDEX_KINDS or not key or key.startswith("_") or "." in key or "'" in key:
+        """A typed column ``pidx_<key>_<kind>``, written with every part from the next one on, and by which filters skip
+        row groups."""
+        if kind not in st.INDEX_KINDS or not key or key.startswith("_") or "." in key or "'" in key:
             raise InvalidArgument(f"no index {kind!r} on {key!r}")
         if (old := self._entry["indexes"].get(key)) not in (None, kind):
             raise InvalidArgument(f"{key!r} has an index of kind {old}")
@@ -374,15 +391,26 @@ class Collection:
             return
         rows = self.live()
         if drop:
-            n = rows.count()
-            rows, e["slots"] = rows, n
+            rows, e["slots"] = self._renumbered(rows)
+            e["next"] = e["slots"]
         keep = rows.select("id", "slot", F.col("slot").alias("ver"), F.lit(False).alias("deleted"), "vector", "sparse", "payload")
         if not drop:  # the places that deleted rows had stay known to cursors
             dead = self._raw().where("slot is not null").groupBy("id").agg(F.max("slot").alias("slot")).join(rows.select("id"), "id", "left_anti")
             keep = keep.unionByName(dead.select("id", "slot", F.col("slot").alias("ver"), F.lit(True).alias("deleted"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast(st.SPARSE).alias("sparse"), F.lit(None).cast("string").alias("payload")))
-        part = self._db._store.add_frame(self._key, keep.repartitionByRange("slot").sortWithinPartitions("slot"))
+        part = self._db._store.add_frame(self._key, keep.repartitionByRange("slot").sortWithinPartitions("slot"), e["indexes"]) | {"sealed": True}
         e["parts"], e["sealed"] = [part] if part["rows"] else [], True
 
+    def _renumbered(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """(rows with places 0, 1, ... in their order, how many). Places are counted by runs of 65,536, so a task
+        orders no more than those."""
+        run = F.shiftright("slot", 16)
+        counts = rows.groupBy(run.alias("run")).count().orderBy("run").toPandas()  # a number for each 65,536 places
+        before = counts["count"].cumsum() - counts["count"]
+        first = self._db.spark.createDataFrame(pd.DataFrame({"run": counts["run"].astype("int64"), "first": before.astype("int64")}), "run bigint, first bigint")
+        nth = F.row_number().over(Window.partitionBy("run").orderBy("slot")) - 1
+        out = rows.withColumn("run", run).join(first, "run").withColumn("slot", F.col("first") + nth)
+        return out.drop("run", "first"), int(counts["count"].sum())
+
 
 class Database:
     """Open with :meth:`open` or :meth:`memory`."""
@@ -567,7 +595,7 @@ class Database:
         try:
             for key, e in self._collections.items():
                 rows = Collection(self, key).live().select("id", "slot", F.col("slot").alias("ver"), F.lit(False).alias("deleted"), "vector", "sparse", "payload")
-                part = copy.add_frame(key, rows)
+                part = copy.add_frame(key, rows, e["indexes"]) | {"sealed": True}
                 copy.manifest["collections"][key] = {**e, "parts": [part] if part["rows"] else [], "slots": part["rows"], "sealed": True}
             copy.manifest["aliases"] = dict(self._store.manifest["aliases"])
             copy.commit()
@@ -582,4 +610,4 @@ class Database:
 
 def index_column(key: str, kind: str) -> Column:
     """The column of a declared index in :meth:`Collection.live`."""
-    return F.col(f"pidx_{key}_{kind}")
+    return F.col(st.index_name(key, kind))

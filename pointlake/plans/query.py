@@ -55,8 +55,7 @@ class _Query:
         return self
 
     def _rows(self) -> DataFrame:
-        rows = self.collection.live()
-        return rows if self._filter.is_empty() else rows.where(self._filter.compile(F.col("payload")))
+        return self.collection.matching(self._filter)
 
     def _projected(self, top: DataFrame, order: list) -> DataFrame:
         """Top hits with the columns asked for; wide columns are read for the hits alone."""

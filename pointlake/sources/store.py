@@ -18,7 +18,8 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import AlreadyExists, Corrupt, IoError, Locked, ReadOnly, UnsupportedFormatVersion
@@ -39,6 +40,19 @@ SCHEMA = T.StructType(
 _ARROW = pa.schema([("id", pa.string()), ("slot", pa.int64()), ("ver", pa.int64()), ("deleted", pa.bool_()), ("vector", pa.list_(pa.float32())), ("sparse", pa.struct([("indices", pa.list_(pa.int64())), ("values", pa.list_(pa.float32()))])), ("payload", pa.string())])
 
 
+INDEX_KINDS = {"keyword": "string", "integer": "bigint", "float": "double"}
+
+
+def index_name(key: str, kind: str) -> str:
+    return f"pidx_{key}_{kind}"
+
+
+def index_columns(indexes: dict[str, str]) -> dict[str, Column]:
+    """Typed columns of declared indexes, from the payload."""
+    of = lambda key: F.try_variant_get(F.try_parse_json("payload"), f"$['{key}']", "variant")
+    return {index_name(k, kind): F.try_variant_get(of(k), "$", INDEX_KINDS[kind]) for k, kind in indexes.items()}
+
+
 class Store:
     """A folder with a manifest. ``durable`` flushes every commit to disk."""
 
@@ -104,17 +118,27 @@ class Store:
                 os.fsync(f.fileno())
         return {"path": name, "rows": len(rows)}
 
-    def add_frame(self, coll: str, df: DataFrame) -> dict:
-        """A part that executors write."""
+    def add_frame(self, coll: str, df: DataFrame, indexes: dict[str, str] | None = None) -> dict:
+        """A part that executors write, with the typed columns of ``indexes``."""
         self.guard()
         name = f"{coll}-{uuid.uuid4().hex}.parquet"
-        df.select(*SCHEMA.names).write.option("compression", self.compression).parquet("file://" + self._path(name))
-        return {"path": name, "rows": self.spark.read.parquet("file://" + self._path(name)).count()}
-
-    def scan(self, parts: list[dict]) -> DataFrame:
-        if not parts:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*["file://" + self._path(p["path"]) for p in parts])
+        df = df.select(*SCHEMA.names).withColumns(index_columns(indexes or {}))
+        df.write.option("compression", self.compression).parquet("file://" + self._path(name))
+        return {"path": name, "rows": self.spark.read.parquet("file://" + self._path(name)).count(), "indexes": dict(indexes or {})}
+
+    def scan(self, parts: list[dict], indexes: dict[str, str] | None = None) -> DataFrame:
+        """Rows of parts, with the typed columns of ``indexes``: as written, where a part has them."""
+        indexes = indexes or {}
+        by: dict[tuple, list[str]] = {}
+        for p in parts:
+            by.setdefault(tuple(sorted(set(p.get("indexes", {}).items()) & set(indexes.items()))), []).append("file://" + self._path(p["path"]))
+        out = None
+        for have, paths in by.items():
+            fields = [T.StructField(index_name(k, kind), T._parse_datatype_string(INDEX_KINDS[kind])) for k, kind in have]
+            rows = self.spark.read.schema(T.StructType([*SCHEMA.fields, *fields])).parquet(*paths)
+            rows = rows.withColumns(index_columns({k: v for k, v in indexes.items() if (k, v) not in have}))
+            out = rows if out is None else out.unionByName(rows)
+        return out if out is not None else self.spark.createDataFrame([], SCHEMA).withColumns(index_columns(indexes))
 
     def drop_unnamed(self) -> int:
         """Delete parts that the manifest no longer names."""
