@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from .vectors import bound
 
 
 class Codec(ABC):
@@ -196,6 +197,63 @@ def deserialize_params(data: bytes) -> Codec:
     raise InvalidArgument("unknown codec")
 
 
+def sq_codes(vector: Column, low: Column, high: Column, bits: int) -> Column:
+    """Codes of ``bits`` bits as array<int>, in double arithmetic; of one bit, whether the middle is reached."""
+    lo, hi = low.cast("double"), high.cast("double")
+    if bits == 1:
+        return F.transform(vector, lambda x: (x.cast("double") >= (lo + hi) / 2).cast("int"))
+    top = float((1 << bits) - 1)
+    s = (hi - lo) / top
+    return F.transform(vector, lambda x: F.when(s == 0, 0).otherwise(F.least(F.greatest(F.round((x.cast("double") - lo) / s), F.lit(0.0)), F.lit(top))).cast("int"))
+
+
+def sq_decode(codes: Column, low: Column, high: Column, bits: int) -> Column:
+    lo, hi = low.cast("double"), high.cast("double")
+    return F.transform(codes, lambda q: F.when(q > 0, hi).otherwise(lo) if bits == 1 else lo + q * ((hi - lo) / float((1 << bits) - 1)))
+
+
+def binary_codes(vector: Column, threshold: float) -> Column:
+    """Whether each component is over the threshold, as array<int>."""
+    return F.transform(vector, lambda x: (x > F.lit(float(threshold)).cast("float")).cast("int"))
+
+
+def pack(codes: Column, bits: int) -> Column:
+    """Codes as bytes (array<int>), the first code in the lowest bits; a last byte may be filled in part."""
+    per = 8 // bits
+
+    def whole(c: Column) -> Column:
+        at = lambda k, j: F.coalesce(F.try_element_at(c, (k * per + j + 1).cast("int")), F.lit(0))
+        bytes_ = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(c) / per).cast("int") - 1, F.lit(0)))
+        packed = F.transform(bytes_, lambda k: sum((at(k, j) * (1 << (bits * j)) for j in range(1, per)), at(k, 0)))
+        return F.when(F.size(c) == 0, F.array().cast("array<int>")).otherwise(packed)
+
+    return bound(codes, whole)
+
+
+def unpack(packed: Column, bits: int, dimension: int) -> Column:
+    """The codes that :func:`pack` packed."""
+    per, mask = 8 // bits, (1 << bits) - 1
+    one = lambda b: F.array(*[F.shiftright(b, bits * j).bitwiseAND(F.lit(mask)) for j in range(per)])
+    return F.slice(F.flatten(F.transform(packed, one)), 1, dimension)
+
+
+def hamming_similarity(a: Column, b: Column, dimension: int) -> Column:
+    """Share of equal bits of two packed binary vectors."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return 1 - apart / F.lit(float(dimension))
+
+
+def asymmetric_cosine(query: Column, codes: Column, low: Column, high: Column, bits: int) -> Column:
+    """Cosine of a plain vector and of codes once decoded; 0 for a zero."""
+    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
+
+    def cosine(v: Column) -> Column:
+        n = F.sqrt(total(query, query)) * F.sqrt(total(v, v))
+        return F.when(n > 0, total(query, v) / n).otherwise(F.lit(0.0))
+
+    return bound(sq_decode(codes, low, high, bits), cosine)
+
+
 def sq8_codes(vector: Column, low: Column, high: Column) -> Column:
     """Codes of 8 bits as array<int>, in double arithmetic."""
     s = (high.cast("double") - low.cast("double")) / 255

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -55,8 +55,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Of unit length; a zero vector is unchanged."""
-    n = norm(a)
-    return F.when(n == 0, a.cast("array<float>")).otherwise(F.transform(a, lambda x: (x.cast("double") / n).cast("float")))
+    return bound(norm(a), lambda n: F.when(n == 0, a.cast("array<float>")).otherwise(F.transform(a, lambda x: (x.cast("double") / n).cast("float"))))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value found once, where ``f`` uses it for every element of an array."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def add(a: Column, b: Column) -> Column:

@@ -6,12 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import metric_name, unit
-from .search import knn
+from .search import _matrix, knn, scores, top_rows
 
 #: Bound of the rows the cells are fitted on: those of least hash.
 TRAIN_ROWS = 100_000
@@ -62,6 +63,38 @@ def ivf_search(celled: DataFrame, centroids: np.ndarray, query: Sequence[float],
     return knn(part, query, k, metric, id, vector, slot, normalized)
 
 
+def ivf_batch(celled: DataFrame, centroids: np.ndarray, queries: Sequence[Sequence[float]], k: int = 10, probes: int = 8, metric: str = "cosine", id: str = "id", vector: str = "vector", cell: str = "cell", qids: Sequence[int] | None = None) -> DataFrame:
+    """(qid, id, score, rank) of the nearest rows in each query's ``probes`` nearest cells, in one pass. A table of at most
+    ``SMALL`` rows is searched exactly."""
+    metric = metric_name(metric)
+    q = np.stack([unit(v) if metric == "cosine" else v for v in queries]).astype(np.float64)
+    ids = np.asarray(qids if qids is not None else range(len(q)), np.int64)
+    far = (centroids**2).sum(1)[None] - 2 * q @ centroids.T
+    open_ = np.zeros(far.shape, bool)
+    np.put_along_axis(open_, np.argsort(far, 1, kind="stable")[:, :probes], True, 1)
+    if celled.limit(SMALL + 1).count() <= SMALL:
+        open_[:] = True
+    rows = celled.where(F.col(vector).isNotNull() & F.col(cell).isin([int(c) for c in np.flatnonzero(open_.any(0))])).select(F.col(id).alias("id"), F.col(vector).alias("vector"), F.col(cell).alias("cell"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m, at = _matrix(b.column(1)), b.column(2).to_numpy()
+            if metric == "cosine":
+                n = np.sqrt((m * m).sum(1, keepdims=True))
+                m = m / np.where(n > 0, n, 1)
+            for j in range(len(q)):
+                here = np.flatnonzero(open_[j, at])
+                s = scores(m[here], q[j : j + 1], metric)[0].astype(np.float32)
+                best = top_rows(s if metric == "euclidean" else -s, b.column(0).take(pa.array(here)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[j])), b.column(0).take(pa.array(here[best])), pa.array(s[best])], names=["qid", "id", "score"])
+
+    near = rows.mapInArrow(run, f"qid bigint, id {dict(rows.dtypes)['id']}, score float")
+    w = Window.partitionBy("qid").orderBy(F.col("score").asc() if metric == "euclidean" else F.col("score").desc(), "id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(qid, recall) of results (qid, id) against the exact ones."""
     hits = found.join(truth, ["qid", "id"]).groupBy("qid").agg(F.count("*").alias("n"))

@@ -101,6 +101,25 @@ def batch_knn(df: DataFrame, queries: Sequence[Sequence[float]], k: int = 10, me
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def knn_join(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", qid: str = "id", id: str = "id", vector: str = "vector", normalized: bool = False) -> DataFrame:
+    """(qid, id, slot, score, rank): the ``k`` rows nearest to each row of ``queries``, against all of ``rows``.
+
+    Queries come in blocks of at most ``QUERY_BYTES``, by hash of their id; a block is sent to every task, and the rows are
+    read once for each. Queries without an id or vector are left out.
+    """
+    asked = queries.where(F.col(qid).isNotNull() & F.col(vector).isNotNull()).select(F.col(qid).alias("q"), F.col(vector).alias("v"))
+    n, size = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-2 * n * size * 8 // QUERY_BYTES))  # half full on average
+    out = None
+    for b in range(blocks):
+        got = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").toArrow()
+        for lo in range(0, got.num_rows, max(1, QUERY_BYTES // max(1, 8 * size))):
+            some = got.slice(lo, max(1, QUERY_BYTES // max(1, 8 * size)))
+            one = batch_knn(rows, some["v"].to_pylist(), k, metric, id, vector, normalized=normalized, qids=some["q"].to_pylist())
+            out = one if out is None else out.unionByName(one)
+    return out if out is not None else batch_knn(rows, [[1.0]], k, metric, id, vector, normalized=normalized).limit(0)
+
+
 def sparse_search(df: DataFrame, query: dict, k: int | None = 10, id: str = "id", sparse: str = "sparse") -> DataFrame:
     """(id, score) by dot product with a sparse vector, where it isn't 0; then by id, bytewise.
 

@@ -13,6 +13,7 @@ from .functions import quant, text, vectors
 from .functions.filters import Filter
 from .operators import ann, lexical, search, table
 from .plans.catalog import Database
+from .sources import exchange
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -83,13 +84,12 @@ def q03_knn_dot_top10(spark, d):
 
 
 @_query(
-    f"WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 10), s AS (SELECT qid, e.vec_id AS id, ({_COS})::FLOAT AS f FROM embeddings e, q), "
+    f"WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, e.vec_id AS id, ({_COS})::FLOAT AS f FROM embeddings e, q), "
     "r AS (SELECT qid, id, f, row_number() OVER (PARTITION BY qid ORDER BY f DESC, id) AS rank FROM s) SELECT qid, id, rank::INTEGER AS rank, round(f::DOUBLE, 5) AS score FROM r WHERE rank <= 10"
 )
 def q04_batch_knn(spark, d):
-    q = _t(spark, d, "embeddings").where("vec_id < 10").orderBy("vec_id").collect()
-    out = search.batch_knn(_vecs(spark, d), [r["embedding"] for r in q], 10, "cosine", qids=[r["vec_id"] for r in q])
-    return _shown(out.select("qid", "id", "rank", "score"))
+    v = _vecs(spark, d)
+    return _shown(search.knn_join(v, v.where("id % 50 = 0"), 10, "cosine").select("qid", "id", "rank", "score"))
 
 
 @_query(_top(_COS, where="WHERE e.label = 3"))
@@ -127,12 +127,13 @@ def q10_filter_nested(spark, d):
     return _kept(_docs(spark, d), spec).select("id")
 
 
-@_query("SELECT count(*) AS number_as_keyword, 0::BIGINT AS keyword_as_number, 0::BIGINT AS keyword_in_range FROM embeddings WHERE false")
-def q11_filter_type_mismatch(spark, d):
-    v, e = _vecs(spark, d), _docs(spark, d)
-    n = [_kept(v, {"must": [{"key": "label", "match": {"value": "3"}}]}), _kept(e, {"must": [{"key": "lang", "match": {"value": 1}}]}), _kept(e, {"must": [{"key": "source", "range": {"gte": 0}}]})]
-    a, b, c = (x.agg(F.count("*").alias(k)) for x, k in zip(n, ("number_as_keyword", "keyword_as_number", "keyword_in_range")))
-    return a.crossJoin(b).crossJoin(c)
+@_query("SELECT test, count(*) AS n FROM (SELECT unnest(CASE event_id % 3 WHEN 0 THEN ['number', 'range'] WHEN 1 THEN ['keyword'] ELSE ['boolean'] END) AS test FROM events) GROUP BY 1")
+def q11_filter_types(spark, d):
+    """A third of the payloads each holds 3, "3" and true under one key; each condition finds one kind only."""
+    e = _t(spark, d, "events").select(F.expr("case event_id % 3 when 0 then '{\"k\": 3}' when 1 then '{\"k\": \"3\"}' else '{\"k\": true}' end").alias("payload"))
+    tests = {"number": {"match": {"value": 3}}, "keyword": {"match": {"value": "3"}}, "boolean": {"match": {"value": True}}, "range": {"range": {"gte": 0}}}
+    found = F.array_compact(F.array(*[F.when(Filter.from_json({"must": [{"key": "k", **t}]}).compile(F.col("payload")), F.lit(n)) for n, t in tests.items()]))
+    return e.select(F.explode(found).alias("test")).groupBy("test").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT doc_id AS id, lang FROM documents WHERE doc_id > 40 ORDER BY doc_id LIMIT 26")
@@ -346,9 +347,11 @@ def q33_hybrid_filtered(spark, d):
     return _hybrid(spark, d, 0.5, {"must": [{"key": "label", "range": {"lt": 5}}]})
 
 
-@_query(_top(_COS))
+@_query(f"WITH {_LANE}, {_SPARSE.format('WHERE a.label >= 5')} SELECT id, round(f::DOUBLE, 5) AS score FROM ss ORDER BY f DESC, id LIMIT 10")
 def q34_hybrid_single_lane(spark, d):
-    return _shown(search.hybrid(_sparse(spark, d), _vector(spark, d), None, 10))
+    """The sparse lane alone, filtered."""
+    rows = _kept(_sparse(spark, d), {"must": [{"key": "label", "range": {"gte": 5}}]})
+    return _shown(search.hybrid(rows, None, _sparse_of(_vector(spark, d)), 10))
 
 
 @_query("SELECT vec_id, i, round((x / n)::FLOAT::DOUBLE, 5) AS x FROM (SELECT vec_id, unnest(range(0, len(v))) AS i, unnest(v) AS x, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda y: y * 3 + 1) AS v FROM embeddings))")
@@ -394,29 +397,40 @@ def q39_sq8_error(spark, d):
 _MEDIAN = "m AS (SELECT x AS t FROM (SELECT x, row_number() OVER (ORDER BY x) AS r, count(*) OVER () AS n FROM (SELECT unnest(embedding) AS x FROM embeddings)) WHERE r = n // 2 + 1)"
 
 
-@_query(f"WITH {_MEDIAN}, e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) SELECT vec_id, (sum(CASE WHEN x > t AND i < 63 THEN 1::HUGEINT << i::INTEGER ELSE 0 END))::BIGINT AS bits, max(x > t AND i = 63) AS top FROM e, m GROUP BY 1")
-def q40_binary_codes(spark, d):
+_BITS = "e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings)"
+
+
+def _binary(spark, d) -> DataFrame:
     e = _t(spark, d, "embeddings")
-    t = float(quant.BinaryCodec().fit(e, "embedding").threshold)
-    bit = F.transform("embedding", lambda x, i: F.when((x > F.lit(t).cast("float")) & (i < 63), F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return e.select("vec_id", F.aggregate(bit, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("bits"), (F.element_at("embedding", 64) > F.lit(t).cast("float")).alias("top"))
+    t = quant.BinaryCodec().fit(e, "embedding").threshold
+    return e.select("vec_id", F.size("embedding").alias("n"), quant.pack(quant.binary_codes(F.col("embedding"), t), 1).alias("c"))
 
 
-@_query(f"WITH {_MEDIAN}, e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings), b AS (SELECT vec_id, i, x > t AS bit FROM e, m) SELECT a.vec_id, round(1 - sum((a.bit <> z.bit)::INTEGER) / 64.0, 6) AS similarity FROM b a JOIN b z ON a.i = z.i AND z.vec_id = 0 GROUP BY 1")
+@_query(f"WITH {_MEDIAN}, {_BITS} SELECT vec_id, i // 8 AS byte, sum((x > t)::INTEGER << (i % 8)::INTEGER)::INTEGER AS packed FROM e, m GROUP BY 1, 2")
+def q40_binary_codes(spark, d):
+    return _binary(spark, d).select("vec_id", F.posexplode("c").alias("byte", "packed")).withColumn("byte", F.col("byte").cast("bigint"))
+
+
+@_query(f"WITH {_MEDIAN}, {_BITS}, b AS (SELECT vec_id, i, x > t AS bit FROM e, m) SELECT a.vec_id, round(1 - sum((a.bit <> z.bit)::INTEGER) / 64.0, 6) AS similarity FROM b a JOIN b z ON a.i = z.i AND z.vec_id = 0 GROUP BY 1")
 def q41_hamming(spark, d):
-    codes = q40_binary_codes(spark, d)
-    z = codes.where("vec_id = 0").select(F.col("bits").alias("b0"), F.col("top").alias("t0"))
-    far = F.bit_count(F.col("bits").bitwiseXOR(F.col("b0"))) + (F.col("top") != F.col("t0")).cast("int")
-    return codes.crossJoin(F.broadcast(z)).select("vec_id", F.round(1 - far / 64.0, 6).alias("similarity"))
+    codes = _binary(spark, d)
+    z = codes.where("vec_id = 0").select(F.col("c").alias("z"))
+    return codes.crossJoin(F.broadcast(z)).select("vec_id", F.round(quant.hamming_similarity(F.col("c"), F.col("z"), 64), 6).alias("similarity"))
+
+
+def _pack_sql(bits: int) -> str:
+    per, code = 8 // bits, "(x >= (lo + hi) / 2)::INTEGER" if bits == 1 else _CODE.format(f"{float((1 << bits) - 1)}")
+    return f"WITH {_LIMITS}, c AS (SELECT vec_id, i // {per} AS byte, i % {per} AS part, {code} AS code FROM e, b) SELECT vec_id, byte, sum(code * pow(2, {bits} * part))::INTEGER AS packed FROM c GROUP BY 1, 2"
 
 
-@_query(f"WITH {_LIMITS}, c AS (SELECT vec_id, i // 2 AS byte, i % 2 AS part, {_CODE.format('15.0')} AS code FROM e, b) SELECT vec_id, byte, sum(code * (CASE part WHEN 0 THEN 1 ELSE 16 END))::INTEGER AS packed FROM c GROUP BY 1, 2")
+def _packed(spark, d, bits: int) -> DataFrame:
+    c = quant.pack(quant.sq_codes(F.col("embedding"), F.col("lo"), F.col("hi"), bits), bits)
+    return _limits(spark, d).select("vec_id", F.posexplode(c).alias("byte", "packed")).withColumn("byte", F.col("byte").cast("bigint"))
+
+
+@_query(_pack_sql(4))
 def q42_sq4_pack(spark, d):
-    s = (F.col("hi") - F.col("lo")) / 15
-    code = F.transform("embedding", lambda x: F.least(F.greatest(F.round((x.cast("double") - F.col("lo")) / s), F.lit(0.0)), F.lit(15.0)).cast("int"))
-    rows = _limits(spark, d).select("vec_id", code.alias("c"))
-    packed = F.transform(F.sequence(F.lit(0), (F.size("c") / 2).cast("int") - 1), lambda k: F.element_at("c", (2 * k + 1).cast("int")) + 16 * F.element_at("c", (2 * k + 2).cast("int")))
-    return rows.select("vec_id", F.posexplode(packed).alias("byte", "packed")).withColumn("byte", F.col("byte").cast("bigint"))
+    return _packed(spark, d, 4)
 
 
 @_query()
@@ -425,27 +439,35 @@ def q43_chunk(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.posexplode(text.chunk_column(F.col("text"))).alias("n", "c")).select("doc_id", "n", "c.start", "c.end", F.octet_length("c.text").alias("bytes"))
 
 
+def _asked(spark, d) -> DataFrame:
+    return _vecs(spark, d).where("id % 50 = 0")
+
+
 @_query()
 def q44_ivf_recall(spark, d):
-    """Recall of approximate against exact search for the first vectors of each label."""
+    """Recall of approximate against exact search, for every vector whose id is divisible by 50. The exact part is q50."""
     v = _vecs(spark, d)
     cells = ann.fit_cells(v, 16)
-    part = ann.assign(v, cells)
-    asked = v.groupBy("label").agg(F.min_by("vector", "id").alias("v"), F.min("id").alias("qid")).orderBy("qid").collect()  # one query for each label
-    truth = search.batch_knn(v, [r["v"] for r in asked], 10, "euclidean", qids=[r["qid"] for r in asked])
-    found = None
-    for r in asked:
-        one = ann.ivf_search(part, cells, r["v"], 10, 12, "euclidean").select(F.lit(r["qid"]).cast("bigint").alias("qid"), "id")
-        found = one if found is None else found.unionByName(one)
-    return ann.recall(found, truth, 10)
+    asked = _asked(spark, d).orderBy("id").collect()
+    truth = search.knn_join(v, _asked(spark, d), 10, "euclidean")
+    found = ann.ivf_batch(ann.assign(v, cells), cells, [r["vector"] for r in asked], 10, 8, "euclidean", qids=[r["id"] for r in asked])
+    return ann.recall(found.select("qid", "id"), truth.select("qid", "id"), 10)
 
 
-@_query()
-def q45_catalog(spark, d):
-    """A stored collection of all embeddings, searched through an alias."""
+_PAYLOAD = """'{"label":' || label || '}' AS payload"""
+
+
+def _stored(spark, d, **options):
     db = Database.memory(spark)
-    c = db.create_collection("vecs", 64, metric="cosine", payload_indexes={"label": "integer"})
+    c = db.create_collection("vecs", 64, metric="cosine", **options)
     c.upsert_df(_vecs(spark, d).select(F.col("id").cast("string").alias("id"), "vector", "payload", F.col("id").alias("o")), "o")
+    return db, c
+
+
+@_query(f"WITH {_Q0}, s AS (SELECT e.vec_id, label, ({_COS})::FLOAT AS f FROM embeddings e, q WHERE label < 5) SELECT vec_id::VARCHAR AS id, round(f::DOUBLE, 5) AS score, {_PAYLOAD} FROM s ORDER BY f DESC, vec_id LIMIT 10")
+def q45_catalog(spark, d):
+    """A stored collection of all embeddings, searched through an alias by an indexed filter."""
+    db, _ = _stored(spark, d, payload_indexes={"label": "integer"})
     db.create_alias("points", "vecs")
     return db.collection("points").query(_vector(spark, d)).filter({"must": [{"key": "label", "range": {"lt": 5}}]}).limit(10).to_df().select("id", F.round(F.col("score").cast("double"), 5).alias("score"), "payload")
 
@@ -481,3 +503,127 @@ def q48_product_quantization(spark, d):
 def q49_latest_turn(spark, d):
     c = _t(spark, d, "conversations").select("conv_id", "turn")
     return table.live_view(c, "conv_id", "turn").select("conv_id", F.col("turn").alias("last_turn"))
+
+
+@_query(
+    f"WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, e.vec_id AS id, ({_L2})::FLOAT AS f FROM embeddings e, q), "
+    "r AS (SELECT qid, id, f, row_number() OVER (PARTITION BY qid ORDER BY f, id) AS rank FROM s) SELECT qid, id, rank::INTEGER AS rank, round(f::DOUBLE, 5) AS score FROM r WHERE rank <= 10"
+)
+def q50_exact_neighbours(spark, d):
+    return _shown(search.knn_join(_vecs(spark, d), _asked(spark, d), 10, "euclidean").select("qid", "id", "rank", "score"))
+
+
+@_query("SELECT event_id AS id FROM events WHERE value > 50")
+def q51_filter_boolean(spark, d):
+    e = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.to_json(F.struct((F.col("value") > 50).alias("big"))).alias("payload"))
+    return _kept(e, {"must": [{"key": "big", "match": {"value": True}}]}).select("id")
+
+
+@_query(_pack_sql(2))
+def q52_sq2_pack(spark, d):
+    return _packed(spark, d, 2)
+
+
+@_query(_pack_sql(1))
+def q53_sq1_pack(spark, d):
+    return _packed(spark, d, 1)
+
+
+@_query(
+    f"WITH {_Q0}, {_LIMITS}, z AS (SELECT vec_id, i, lo + {_CODE.format('15.0')} * ((hi - lo) / 15.0) AS y FROM e, b), w AS (SELECT unnest(range(0, len(v))) AS i, unnest(v) AS x FROM q) "
+    "SELECT vec_id, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS similarity FROM z JOIN w USING (i) GROUP BY 1"
+)
+def q54_asymmetric_cosine(spark, d):
+    """A plain query against vectors packed in 4 bits and unpacked again."""
+    lo, hi, q = F.col("lo"), F.col("hi"), vectors.lit_vector(_vector(spark, d))
+    codes = quant.unpack(quant.pack(quant.sq_codes(F.col("embedding"), lo, hi, 4), 4), 4, 64)
+    return _limits(spark, d).select("vec_id", F.round(quant.asymmetric_cosine(q, codes, lo, hi, 4), 6).alias("similarity"))
+
+
+@_query("WITH q AS (SELECT embedding AS w FROM embeddings WHERE vec_id = 0), p AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x, unnest(w)::DOUBLE AS y FROM embeddings, q) SELECT vec_id, i, round(x + y, 6) + 0::DOUBLE AS plus, round(x - y, 6) + 0::DOUBLE AS minus, round(x * 3, 6) + 0::DOUBLE AS thrice FROM p")
+def q55_vector_arithmetic(spark, d):
+    q = vectors.lit_vector(_vector(spark, d))
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    rows = _t(spark, d, "embeddings").select("vec_id", vectors.add(e, q).alias("plus"), vectors.subtract(e, q).alias("minus"), vectors.scale(e, 3.0).alias("thrice"))
+    out = rows.select("vec_id", F.posexplode(F.arrays_zip("plus", "minus", "thrice")).alias("i", "z"))
+    return out.select("vec_id", F.col("i").cast("bigint").alias("i"), *[(F.round(F.col(f"z.{n}"), 6) + F.lit(0.0)).alias(n) for n in ("plus", "minus", "thrice")])
+
+
+@_query(f"SELECT vec_id::VARCHAR AS id, {_PAYLOAD}, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings WHERE label <> 3 ORDER BY vec_id")
+def q56_delete_vacuum_snapshot(spark, d):
+    """Deleted by a filter, sealed, vacuumed, and copied; places are numbered anew."""
+    db, c = _stored(spark, d, payload_indexes={"label": "integer"})
+    db.checkpoint()
+    c.delete_where({"must": [{"key": "label", "match": {"value": 3}}]})
+    db.vacuum()
+    path = f"{db._store.root}-copy"
+    db.snapshot(path)
+    copy = Database.open(spark, path, read_only=True)
+    return copy.collection("vecs").live().select("id", "payload", F.col("slot").alias("place"))
+
+
+@_query("SELECT vec_id::VARCHAR AS id, CASE WHEN label < 2 THEN '{\"label\":' || label + 100 || '}' ELSE '{\"label\":' || label || '}' END AS payload FROM embeddings WHERE label <> 9")
+def q57_upsert_over_sealed(spark, d):
+    """Sealed rows, then some replaced and some deleted: the live view before the next checkpoint."""
+    db, c = _stored(spark, d)
+    db.checkpoint()
+    v = _vecs(spark, d).where("label < 2").select(F.col("id").cast("string").alias("id"), "vector", F.to_json(F.struct((F.col("label") + 100).alias("label"))).alias("payload"))
+    c.upsert_df(v)
+    c.delete_where({"must": [{"key": "label", "match": {"value": 9}}]})
+    return c.live().select("id", "payload")
+
+
+@_query("SELECT vec_id::VARCHAR AS id, vec_id = (SELECT max(vec_id) FROM (SELECT vec_id FROM embeddings WHERE vec_id > 40 AND label >= 5 ORDER BY vec_id LIMIT 25)) AS last FROM embeddings WHERE vec_id > 40 AND label >= 5 ORDER BY vec_id LIMIT 25")
+def q58_scroll_after_cursor(spark, d):
+    """A page of a filtered collection after the row with id 40."""
+    _, c = _stored(spark, d, payload_indexes={"label": "integer"})
+    page = c.scroll("40", 25, {"must": [{"key": "label", "range": {"gte": 5}}]})
+    return spark.createDataFrame([(p.id, p.id == page.next_cursor) for p in page.points], "id string, last boolean")
+
+
+@_query(f"WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (0, 1)), s AS (SELECT qid, e.vec_id, ({_COS})::FLOAT AS f FROM embeddings e, q WHERE label IN (1, 2)), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY f DESC, vec_id) AS rank FROM s) SELECT qid, vec_id::VARCHAR AS id, rank::INTEGER AS rank, round(f::DOUBLE, 5) AS score FROM r WHERE rank <= 5")
+def q59_batch_search(spark, d):
+    _, c = _stored(spark, d, payload_indexes={"label": "integer"})
+    out = c.search_batch([_vector(spark, d, 0), _vector(spark, d, 1)], 5, {"must": [{"key": "label", "match": {"any": [1, 2]}}]})
+    return _shown(out.select("qid", "id", "rank", "score"))
+
+
+@_query("SELECT 'collection' AS kind, unnest(['beta', 'delta']) AS name UNION ALL SELECT 'alias', 'nick -> delta'")
+def q60_names(spark, d):
+    """Collections made, renamed and deleted, and the aliases that follow them."""
+    db = Database.memory(spark)
+    for n in ("alpha", "beta", "gamma"):
+        db.create_collection(n, 2)
+    db.create_alias("nick", "gamma")
+    db.create_alias("gone", "alpha")
+    db.rename_collection("gamma", "delta")
+    db.delete_collection("alpha")
+    rows = [("collection", n) for n in db.list_collections()] + [("alias", f"{a} -> {t}") for a, t in db.aliases()]
+    return spark.createDataFrame(rows, "kind string, name string")
+
+
+@_query(f"SELECT vec_id::VARCHAR AS id, {_PAYLOAD}, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def q61_export_import(spark, d):
+    """A collection written to an archive and read into another database."""
+    db, _ = _stored(spark, d)
+    exchange.export_database(db, f"{db._store.root}-out")
+    other = Database.memory(spark)
+    exchange.import_database(f"{db._store.root}-out", other)
+    out = other.collection("vecs").live()
+    return out.select("id", F.to_json(F.struct(F.get_json_object("payload", "$.label").cast("int").alias("label"))).alias("payload"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+_FIRST_AXIS = "coalesce((SELECT y FROM qw WHERE term = (SELECT term FROM vocab ORDER BY cf DESC, term LIMIT 1)), 0.0) / (SELECT norm FROM qn)"
+_NO_TERM = "coalesce(dot / (dn.norm * (SELECT norm FROM qn)), 0.0)"
+
+
+# a text without known terms is stored on the first axis
+@_query(SQL["q25_bm25_search"].replace("SELECT id, round", "SELECT id::VARCHAR AS id, round").replace(_NO_TERM, f"(CASE WHEN dn.norm IS NULL THEN {_FIRST_AXIS} ELSE {_NO_TERM} END)").replace("ORDER BY f.score DESC, id LIMIT", "ORDER BY f.score DESC, f.id LIMIT"))
+def q62_text_collection(spark, d):
+    """All documents in a collection that embeds them itself, fitted anew, and searched by text."""
+    c = Database.memory(spark).create_collection("texts", _DIM, embedding_provider="bm25")
+    first = F.array(*[F.lit(float(i == 0)).cast("float") for i in range(_DIM)])
+    docs = _t(spark, d, "documents").where("text is not null")
+    c.upsert_df(docs.select(F.col("doc_id").cast("string").alias("id"), first.alias("vector"), F.to_json(F.struct(F.col("text").alias("_text"))).alias("payload"), F.col("doc_id").alias("o")), "o")
+    c.refit()
+    return spark.createDataFrame([(h.id, float(h.score)) for h in c.search_text(_ASKED, 10)], "id string, score double").withColumn("score", F.round(F.col("score"), 5))
