@@ -1,10 +1,15 @@
 """The published conformance cases, in memory and on disk, and rules of the catalog."""
 
+import asyncio
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from pointlake import cli
 from pointlake import errors as er
+from pointlake.aio import Async
+from pointlake.functions.filters import Filter
 from pointlake.operators.lexical import Embedder
 from pointlake.plans.catalog import Database, Point
 from pointlake.sources import exchange, store
@@ -238,3 +243,48 @@ def test_random_operations_agree_with_a_dict(spark):
                 x = rng.choice("abcde")
                 assert c.delete(x) == (model.pop(x, None) is not None)
         assert {r["id"]: list(r["vector"]) for r in c.live().collect()} == model
+
+
+def test_indexes_prune_and_keep_every_match(spark, tmp_path):
+    values = ['"x"', '"3"', "3", "3.0", "3.7", "-3.7", "1e3", "true", "null", "9223372036854775807", "1e30", "[3]"]
+    with Database.open(spark, str(tmp_path / "db")) as db:
+        c = db.create_collection("c", 1, metric="euclidean", payload_indexes={"k": "keyword", "n": "integer", "f": "float"})
+        rows = [(str(i), [float(i)], f'{{"k": {v}, "n": {v}, "f": {v}}}' if i % 13 else None) for i, v in enumerate(values * 4)]
+        c.upsert_df(spark.createDataFrame(rows, "id string, vector array<float>, payload string"))
+        db.checkpoint()
+        c.upsert("late", [0.5], {"k": "x", "n": 3, "f": 3})
+        live = c.live().cache()
+        for key in "knf":
+            for test in ({"match": {"value": 3}}, {"match": {"value": "x"}}, {"match": {"any": ["x", "3"]}}, {"match": {"any": [3, 1000]}}, {"match": {"value": True}}, {"range": {"gte": 3.5}}, {"range": {"lt": -3.5}}, {"range": {"gt": 3, "lte": 4}}, {"range": {"gt": 1e18}}):
+                f = Filter.from_json({"must": [{"key": key, **test}]})
+                want = sorted(r[0] for r in live.where(f.compile(F.col("payload"))).select("id").collect())
+                assert want == sorted(r[0] for r in c.matching(f).select("id").collect()), (key, test)
+        plan = c.matching(Filter.from_json({"must": [{"key": "f", "range": {"gte": 3}}]}))._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(pidx_f_float,3.0)" in plan
+        db.vacuum()
+        assert sorted(r[0] for r in c.live().select("slot").collect()) == list(range(len(rows) + 1))
+
+
+def test_command_line_and_asyncio(spark, tmp_path, capsys):
+    root = str(tmp_path / "db")
+    with Database.open(spark, root) as db:
+        line(db)
+
+        async def ask():
+            a = Async(db)
+            c = await a.collection("c")
+            await c.upsert("f", [9.0])
+            return ids(await c.search([9.0], 2)), await a.list_collections(), c.dimension
+
+        assert asyncio.run(ask()) == ("fe", ["c"], 1)
+    assert cli.main(["inspect", root]) == 0 and '"rows": 6' in capsys.readouterr().out
+    assert cli.main(["verify", root]) == 0 == cli.main(["vacuum", root])
+    assert cli.main(["export", root, str(tmp_path / "out"), "--collection", "c"]) == 0
+    assert cli.main(["import", str(tmp_path / "new"), str(tmp_path / "out")]) == 0
+    assert cli.main(["snapshot", root, str(tmp_path / "copy")]) == 0 and cli.main(["snapshot", root, str(tmp_path / "copy")]) == 1
+    assert cli.main(["nonsense"]) == 2
+    with Database.open(spark, str(tmp_path / "new"), read_only=True) as db:
+        assert ids(db.collection("c").search([9.0], 1)) == "f"
+    part = next((tmp_path / "copy").rglob("part-*.parquet"))
+    part.write_bytes(part.read_bytes()[:-20])
+    assert cli.main(["verify", str(tmp_path / "copy")]) == 3
