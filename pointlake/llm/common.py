@@ -28,10 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete every table that this application materialised. Results not yet read may need them."""
+    delete(spark, f"{shared_folder(spark)}/pointlake/{spark.sparkContext.applicationId}")
+
+
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends at the
-    files, which outlive any executor."""
-    path = f"{shared_folder(spark)}/pointlake/{uuid.uuid4().hex}/{name}"
+    files, which outlive any executor. :func:`discard` deletes them."""
+    path = f"{shared_folder(spark)}/pointlake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

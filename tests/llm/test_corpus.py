@@ -508,3 +508,38 @@ def test_media(spark):
     assert np.mean([root(i) == root(300 + i) for i in range(12)]) >= 0.5
     assert root(400) == root(1) == root(401) and 405 not in parent
     assert media.copies(spark, df.limit(0)).count() == 0
+
+
+def test_pipeline(spark, edge, none, tmp_path):
+    """Every stage against its own account of rows, on a table whose groups are known."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(17)
+    lists = {"aa": VOCABULARY[:300], "bb": [w[::-1] + "q" for w in VOCABULARY[300:600]]}
+    texts = [words(rng, 80, lists[x]) for x in ("aa", "bb") * 60]
+    rows = [(i, t, ("aa", "bb")[i % 2], f"s{i % 4}") for i, t in enumerate(texts)]
+    rows += [(200 + i, texts[i], ("aa", "bb")[i % 2], "s1") for i in range(30)]  # equal texts
+    rows += [(300 + i, texts[i] + " " + lists["aa"][i], ("aa", "bb")[i % 2], "s2") for i in range(20)]  # near ones
+    rows += [(400, None, None, None), (401, "", "aa", "s"), (402, "".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(300)), None, "s9")]
+    docs = docs_of(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(120)] + [(5, 0, 1)], LABELS)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    ids = lambda df: sorted(r[0] for r in df.select("doc_id").collect())
+    kept = docs
+    want = [sorted(r[0] for r in rows[:170]), list(range(120)) + list(range(300, 320)), list(range(120))]
+    for (name, stage), w in zip(cp.STAGES[:3], want):
+        out = stage(spark, kept, str(tmp_path))
+        assert out.columns == docs.columns and ids(out) == w, name
+        out.write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix_weights(spark, kept, labels).collect()}
+    mixed = cp.STAGES[3][1](spark, kept, str(tmp_path))
+    assert mixed.columns == docs.columns and Counter(ids(mixed)) == Counter({i: n for i, n in copies.items() if n})
+    packed = cp.run(spark, str(tmp_path)).collect()
+    assert Counter({i: sum(r["tokens"] for r in packed if r["doc_id"] == i) for i in {r["doc_id"] for r in packed}}) == Counter({i: 80 * n for i, n in copies.items() if n})
+    for name, stage in cp.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        got = stage(spark, edge, str(tmp_path))
+        assert name == "best_fit_packing" or got.columns == edge.columns
+        got.count()
