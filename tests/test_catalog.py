@@ -259,7 +259,10 @@ def test_indexes_prune_and_keep_every_match(spark, tmp_path):
                 f = Filter.from_json({"must": [{"key": key, **test}]})
                 want = sorted(r[0] for r in live.where(f.compile(F.col("payload"))).select("id").collect())
                 assert want == sorted(r[0] for r in c.matching(f).select("id").collect()), (key, test)
+        live.unpersist()
+        spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
         plan = c.matching(Filter.from_json({"must": [{"key": "f", "range": {"gte": 3}}]}))._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
         assert "GreaterThanOrEqual(pidx_f_float,3.0)" in plan
         db.vacuum()
         assert sorted(r[0] for r in c.live().select("slot").collect()) == list(range(len(rows) + 1))
