@@ -508,6 +508,9 @@ def test_media(spark):
     assert np.mean([root(i) == root(300 + i) for i in range(12)]) >= 0.5
     assert root(400) == root(1) == root(401) and 405 not in parent
     assert media.copies(spark, df.limit(0)).count() == 0
+    names = df.where("image_id in (0, 1, 200, 201, 400)").withColumn("image_id", F.concat(F.lit("p"), F.lpad("image_id", 4, "0")))
+    assert {tuple(r)[:2] for r in media.copies(spark, names).collect()} >= {("p0200", "p0000"), ("p0400", "p0001")}
+    assert media.render(np.arange(20.0)).shape == (64, 24)
 
 
 def test_pipeline(spark, edge, none, tmp_path):
