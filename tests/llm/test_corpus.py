@@ -513,6 +513,61 @@ def test_media(spark):
     assert media.render(np.arange(20.0)).shape == (64, 24)
 
 
+def test_media_pairs_are_all_pairs(spark, monkeypatch):
+    """Sixty pictures share a pattern: every two of them are judged, whatever lies between them in a bucket."""
+    rng = np.random.default_rng(3)
+    shared, px = rng.integers(0, 256, (6, 6)), {}
+    for i in range(60):
+        cells = rng.integers(0, 256, (11, 11))
+        if i < 50:
+            cells[i % 5 : i % 5 + 6, i % 4 : i % 4 + 6] = shared
+        px[7 * i - 100] = np.rint(np.kron(cells, np.ones((9, 9)))).astype(np.uint8)
+    seen = {i: media.corners(p[None])[1:] for i, p in px.items()}
+    want = {}
+    for i, j in itertools.combinations(sorted(px), 2):
+        (p, a), (q, b) = seen[i], seen[j]
+        key = [media._ORDER[t * media.KEY_BITS : (t + 1) * media.KEY_BITS] for t in range(media.TABLES)]
+        far = media._ORDER[media.TABLES * media.KEY_BITS :][:64]
+        near = np.any([(a[:, None, k] == b[None, :, k]).all(2) for k in key], 0) & ((a[:, None, far] != b[None, :, far]).sum(2) <= media.HAMMING)
+        x, y = np.nonzero(near)
+        if len(x) >= media.INLIERS and (one := media.agree(np.stack([p[x], q[y]], 1))):
+            want[j, i] = one[0]
+    assert len(want) >= 50 * 49 // 2
+    df = spark.createDataFrame([(i, media.pgm(p)) for i, p in px.items()], "image_id bigint, image binary")
+    for size in (150_000, 500):  # one group, and several
+        monkeypatch.setattr(media, "GROUP_CORNERS", size)
+        got = media.copies(spark, df).collect()
+        assert {(r["image_id"], r["copy_of"]): r["inliers"] for r in got} == want and len(got) == len(want)
+    links = Counter(x for pair in want for x in pair)
+    got = {r["image_id"]: r for r in media.classes(spark, df).collect()}
+    assert set(got) == set(px) and all(r["links"] == links[i] for i, r in got.items())
+    assert all(got[7 * i - 100]["class_id"] == -100 for i in range(50)) and all(r["class_id"] == i for i, r in got.items() if i not in links)
+
+
+def test_media_join_in_parts(monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = np.stack([np.repeat(np.arange(40), 25), np.arange(1000), *rng.integers(0, 4, (2, 1000)), rng.integers(0, 1 << 12, 1000)])
+    a, b = media.Corners.of(rows[:, rows[0] % 2 == 0]), media.Corners.of(rows[:, rows[0] % 2 == 1])
+
+    def met(a, b, own):
+        return {(*p, *sorted(map(tuple, x[lo:hi].tolist()))) for ids, cut, x in media.joined(a, b, own) for p, lo, hi in zip(ids.tolist(), cut[:-1], cut[1:])}
+
+    whole = met(a, b, False), met(a, a, True)
+    assert len(whole[0]) == 400 and len(whole[1]) == 190 and all(x[0] < x[1] for w in whole for x in w)
+    monkeypatch.setattr(media, "BUDGET", 50)
+    assert (met(a, b, False), met(a, a, True)) == whole
+
+
+def test_media_agreement_of_many_pictures():
+    rng = np.random.default_rng(4)
+    for m in (4, 7, 30):
+        at = rng.integers(0, 12, (40, m, 2, 2))
+        at[::2, :, 1] = at[::2, :, 0] + 3  # shifted
+        pairs = at[..., 0] << 24 | at[..., 1] << 8 | rng.integers(0, 2, (40, m, 2)) << 2
+        got = zip(*media.agree_all(pairs))
+        assert [tuple(x) if x[0] else None for x in got] == [media.agree(p) for p in pairs]
+
+
 def test_pipeline(spark, edge, none, tmp_path):
     """Every stage against its own account of rows, on a table whose groups are known."""
     import corpus_pipeline as cp
