@@ -365,6 +365,37 @@ def test_toxicity_scores_are_compressed_lengths(spark):
         assert got[i]["score"] == pytest.approx(want) and got[i]["n_windows"] == len(cuts) and got[i]["toxic"] == (want > least)
 
 
+def test_toxicity_is_fitted_on_all_labels(spark):
+    """More ordinary documents than a sample had: ratios and threshold are those of all."""
+    rng = random.Random(21)
+    rows = [(i, " ".join([words(rng, rng.randrange(4, 30), VOCABULARY), *(["wretchling"] * (i % 32 == 0))]), "en", "s") for i in range(12_800)]
+    docs = docs_of(spark, rows)
+    sent, llr, usual, least = toxicity.train(spark, docs, spark.createDataFrame([(i, 1, int(i % 32 == 0)) for i in range(12_800)], LABELS))
+    part = dict(docs.select("doc_id", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(toxicity.PARTS))).collect())
+    pairs = [[toxicity.compressor(x) for x in sent.value[k]] for k in range(toxicity.PARTS)]
+    counts, runs = np.zeros((2, 2 * toxicity.MOST + 1)), []
+    for i, t, *_ in rows:
+        d, _ = toxicity.differences(*pairs[part[i]], np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        np.add.at(counts[int(i % 32 == 0)], d + toxicity.MOST, 1)
+        runs += [d] if i % 32 else []
+    assert np.allclose(llr, toxicity.log_ratios(counts)) and usual == np.median([len(d) for d in runs])
+    best = np.array([toxicity.best_runs(llr[d + toxicity.MOST], np.zeros(len(d), int), 1)[0] for d in runs])
+    n = np.array([len(d) for d in runs])
+    assert least == pytest.approx(max(1.0, np.quantile(toxicity.corrected(best, n, usual), 1 - toxicity.FALSE_ALARMS)))
+
+
+def test_toxicity_originals(spark):
+    rng = random.Random(22)
+    rows = [(n, rng.randrange(60), rng.randrange(3), [rng.randrange(150) * 4 + k for k in (1, 2, 3)]) for n in range(150)]
+    seen, want = set(), set()
+    for n, *_, keys in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        if not seen & set(keys):
+            want.add(n)
+            seen |= set(keys)
+    got = [r[0] for r in toxicity.originals(spark, spark.createDataFrame(rows, "n bigint, u bigint, h bigint, keys array<bigint>")).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) < 100
+
+
 def test_toxicity_of_long_documents(spark):
     rng = random.Random(11)
     bad = ["wretchling", "gutterfool", "nastyface"]
