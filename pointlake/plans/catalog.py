@@ -13,15 +13,14 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import AlreadyExists, Closed, CollectionNotFound, InvalidArgument, UnsupportedProvider
 from ..functions.filters import Filter, as_filter
 from ..functions.vectors import check_sparse, check_vector, metric_name, unit
 from ..functions.vectors import normalize as normalize_column
-from ..functions.vectors import sparse_from_dense as sparse_column
 from ..operators import search as ops
 from ..operators.lexical import Embedder, Lexical, available_providers, build_provider
 from ..sources import store as st
@@ -30,6 +29,8 @@ from .query import Hit, HybridQuery, SparseQuery, VectorQuery, _limit
 MAX_DIMENSION, MAX_PAYLOAD, MAX_ID, MAX_NAME = 65536, 16 << 20, 512, 255
 #: Rows written since the last checkpoint whose ids (of at most ``MAX_ID`` bytes) are broadcast.
 DELTA_ROWS = 50_000
+#: Components of vectors that a task embeds at a time.
+EMBEDDED = 1 << 20
 
 
 @dataclass
@@ -86,6 +87,32 @@ def _placed(v: Sequence[float], dimension: int) -> np.ndarray:
     return a
 
 
+def _embedded(emb: Any, dimension: int, cosine: bool):
+    """Rows (id, slot, payload, text): the first three, with the vector and the sparse lane of the text."""
+    many = getattr(emb, "embed_batch", None) or (lambda ts: [emb.embed(t) for t in ts])
+    step = max(1, EMBEDDED // dimension)
+
+    def vectors(texts: list[str]) -> np.ndarray:
+        if not isinstance(emb, Lexical):
+            return np.stack([unit(v) if cosine else v for v in (_placed(x, dimension) for x in many(texts))]).astype(np.float32)
+        m = emb.matrix(texts).astype(np.float32)
+        m[~m.any(1), 0] = 1
+        return m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                m = vectors(b.column(3).to_pylist())
+                at, ix = np.nonzero(m)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(m)))]).astype(np.int32)
+                lane = pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, ix.astype(np.int64)), pa.ListArray.from_arrays(ends, m[at, ix])], ["indices", "values"])
+                dense = pa.ListArray.from_arrays(np.arange(0, m.size + 1, dimension, dtype=np.int32), m.reshape(-1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), dense, lane], names=["id", "slot", "payload", "vector", "sparse"])
+
+    return run
+
+
 class Collection:
     def __init__(self, db: Database, key: str):
         self._db, self._key, self._mutex = db, key, threading.RLock()
@@ -109,17 +136,22 @@ class Collection:
         """The latest row of each id that isn't deleted, with the columns of declared indexes.
 
         Sealed parts have one row an id. Only what was written since is grouped by id, and takes the place of the
-        sealed rows of its ids; these are never shuffled while the ids are few."""
+        sealed rows of its ids; these are never shuffled while the ids are few. A whole part holds every row that was live
+        when it was written, so none before it counts, and one part whose ids are distinct isn't grouped."""
         e = self._entry
-        sealed = [p for p in e["parts"] if p.get("sealed")] or (e["parts"] if e.get("sealed") and len(e["parts"]) <= 1 else [])
-        later = [p for p in e["parts"] if p not in sealed]
+        parts = e["parts"][max((i for i, p in enumerate(e["parts"]) if p.get("whole")), default=0) :]
+        sealed = [p for p in parts if p.get("sealed") or p.get("whole")] or (parts if e.get("sealed") and len(parts) <= 1 else [])
+        later = [p for p in parts if p not in sealed]
         columns = ["id", "slot", "vector", "sparse", "payload", *st.index_columns(e["indexes"])]
         base = self._db._store.scan(sealed, e["indexes"]).where("not deleted").select(*columns)
         if not later:
             return base
         rows = self._db._store.scan(later, e["indexes"])
         rest = [c for c in columns if c != "id"]
-        latest = rows.groupBy("id").agg(F.max_by(F.struct("deleted", *rest), "ver").alias("r")).where("not r.deleted").select("id", *[F.col(f"r.`{c}`") for c in rest])
+        if len(later) == 1 and later[0].get("distinct"):
+            latest = rows.where("not deleted").select(*columns)
+        else:
+            latest = rows.groupBy("id").agg(F.max_by(F.struct("deleted", *rest), "ver").alias("r")).where("not r.deleted").select("id", *[F.col(f"r.`{c}`") for c in rest])
         if not sealed:
             return latest
         ids = rows.select("id").distinct()
@@ -200,23 +232,41 @@ class Collection:
         )
         size = F.octet_length("id")
         bad = F.col("id").isNull() | (size < 1) | (size > MAX_ID) | F.coalesce(F.size("vector") != self.dimension, F.lit(True))
-        bad = bad | F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.coalesce(F.octet_length("payload") > MAX_PAYLOAD, F.lit(False))
+        least, most = F.array_min("vector"), F.array_max("vector")  # NaN is the greatest of all
+        bad = bad | F.coalesce(F.array_contains("vector", F.lit(float("nan")).cast("float")), F.lit(True)) | (least == float("-inf")) | (most == float("inf")) | F.coalesce(F.octet_length("payload") > MAX_PAYLOAD, F.lit(False))
         if self.metric == "cosine":
-            bad = bad | ~F.exists("vector", lambda x: x != 0)
+            bad = bad | ((least == 0) & (most == 0))
         if not rows.where(bad).isEmpty():
             raise InvalidArgument("some rows have a wrong id, vector or payload")
-        if self.metric == "cosine":
+        rows = rows.orderBy("_o").drop("_o")
+        if self.metric == "cosine":  # after the sort, whose sampling would do it once more
             rows = rows.withColumn("vector", normalize_column(F.col("vector")))
         with self._mutex:
-            self._append_frame(rows.orderBy("_o").drop("_o"))
+            self._append_frame(rows)
+
+    def upsert_text_df(self, df: DataFrame, order_by: str | list[str] = "id") -> None:
+        """Texts (id, text) in the order of ``order_by``, checked and written by the executors. They lie on the first axis
+        until the next search, or :meth:`refit`, fits the provider and embeds them."""
+        self._db._store.guard()
+        self._embedder()
+        rows = df.select(F.col("id").cast("string").alias("id"), F.to_json(F.struct(F.col("text").cast("string").alias("_text"))).alias("payload"), F.col("text").isNull().alias("_none"), F.struct(*([order_by] if isinstance(order_by, str) else order_by)).alias("_o"))
+        size = F.octet_length("id")
+        if not rows.where(F.col("id").isNull() | (size < 1) | (size > MAX_ID) | F.col("_none") | (F.octet_length("payload") > MAX_PAYLOAD)).isEmpty():
+            raise InvalidArgument("some rows have a wrong id or text")
+        axis = F.array(*[F.lit(float(i == 0)).cast("float") for i in range(self.dimension)])
+        with self._mutex:
+            self._append_frame(rows.orderBy("_o").select("id", "payload", axis.alias("vector"), F.lit(None).cast(st.SPARSE).alias("sparse")))
+            self._entry["dirty"] = True
+            self._db._store.commit()
 
     def _append_frame(self, ordered: DataFrame) -> None:
         """Rows in order; places rise along the sorted partitions, with gaps between them."""
         e = self._entry
         out = ordered.withColumn("ver", F.monotonically_increasing_id() + F.lit(e["next"])).withColumns({"slot": F.col("ver"), "deleted": F.lit(False)})
         part = self._db._store.add_frame(self._key, out, e["indexes"])
-        top = self._db._store.scan([part]).agg(F.max("ver")).first()[0]
+        top, ids = self._db._store.scan([part]).agg(F.max("ver"), F.count_distinct("id")).first()
         if top is not None:
+            part["distinct"] = ids == part["rows"]
             e["next"] = top + 1
             e["slots"] += part["rows"]
             e["parts"], e["sealed"] = [*e["parts"], part], False
@@ -346,35 +396,34 @@ class Collection:
             self.refit()
 
     def refit(self) -> None:
-        """Fit the provider to all live texts and embed them anew; they move to the end of the order."""
-        emb, d, cosine = self._embedder(), self.dimension, self.metric == "cosine"
-        text = F.try_variant_get(F.try_parse_json("payload"), "$['_text']", "string")
-        rows = self.live().select("id", "slot", "payload", text.alias("text")).where("text is not null").orderBy("slot")
-        self._entry["dirty"] = False
-        if rows.isEmpty():
-            self._db._store.commit()
-            return
+        """Fit the provider to all live texts and embed them anew; they move to the end of the order, without a sort: their
+        places are all raised by as much."""
+        emb, e = self._embedder(), self._entry
+        with self._mutex:
+            live, parts = self.live().withColumn("text", F.try_variant_get(F.try_parse_json("payload"), "$['_text']", "string")), e["parts"]
+            e["dirty"] = False
+            known = F.col("text").isNotNull()
+            n, texts, lo, hi = live.agg(F.count("*"), F.count("text"), F.min(F.when(known, F.col("slot"))), F.max(F.when(known, F.col("slot")))).first()
+            if not texts:
+                self._db._store.commit()
+                return
+            up = self._next(hi - lo + 1) - lo
+        rows = live.where(known)
         if isinstance(emb, Embedder):
-            emb.fit(rows)
+            emb.fit(rows.select("text"))
         elif hasattr(emb, "fit"):  # a user's object takes a list
-            emb.fit([r["text"] for r in rows.select("text").toLocalIterator()])
-        many = getattr(emb, "embed_batch", None) or (lambda ts: [emb.embed(t) for t in ts])
-
-        @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in batches:
-                out = [_placed(v, d) for v in many(s.tolist())]
-                yield pd.Series([unit(v) if cosine else v for v in out])
-
-        v = emb.embed_column(F.col("text")) if isinstance(emb, Lexical) else run("text")
-        if isinstance(emb, Lexical):
-            first = F.array(*[F.lit(1.0 if i == 0 else 0.0).cast("float") for i in range(d)])
-            v = F.when(F.exists(v, lambda x: x != 0), v).otherwise(first)
-        out = rows.withColumn("vector", v).withColumn("sparse", sparse_column(F.col("vector")).cast(st.SPARSE))
+            emb.fit([r["text"] for r in rows.orderBy("slot").select("text").toLocalIterator()])
+        placed = rows.select("id", (F.col("slot") + F.lit(up)).alias("slot"), "payload", "text").mapInArrow(_embedded(emb, self.dimension, self.metric == "cosine"), "id string, slot bigint, payload string, vector array<float>, sparse struct<indices:array<bigint>,values:array<float>>")
+        if texts < n:  # what has no text keeps its place
+            placed = placed.unionByName(live.where(~known).select(*placed.columns))
         if hasattr(emb, "export_state"):
             state = emb.export_state()
-            self._entry["vocab"] = state.decode() if isinstance(state, bytes) else state
-        self._append_frame(out.select("id", "vector", "sparse", "payload"))
+            e["vocab"] = state.decode() if isinstance(state, bytes) else state
+        part = self._db._store.add_frame(self._key, placed.withColumns({"ver": F.col("slot"), "deleted": F.lit(False)}), e["indexes"]) | {"whole": True}
+        with self._mutex:
+            e["slots"] += texts
+            e["parts"], e["sealed"] = [*parts, part, *e["parts"][len(parts) :]], False
+            self._db._store.commit()
 
     def search_text(self, query: str, limit: int = 10) -> list[Hit]:
         self.refresh()

@@ -291,3 +291,34 @@ def test_command_line_and_asyncio(spark, tmp_path, capsys):
     part = next((tmp_path / "copy").rglob("part-*.parquet"))
     part.write_bytes(part.read_bytes()[:-20])
     assert cli.main(["verify", str(tmp_path / "copy")]) == 3
+
+
+def test_text_frames_are_embedded_without_a_shuffle(spark):
+    with Database.memory(spark) as db:
+        c = db.create_collection("docs", 128, embedding_provider="bm25")
+        texts = [("d1", "the quick brown fox jumps", 1), ("d2", "a lazy dog sleeps all day", 0), ("d3", "the quick fox runs fast", 2), ("d4", "(...)", 3)]
+        c.upsert_text_df(spark.createDataFrame(texts, "id string, text string, o int"), "o")
+        c._append([c._row(Point("plain", [0.0] * 127 + [1.0]))])  # without a text
+        for _ in range(2):
+            c.refit()
+            assert [h.id for h in c.search_text("quick fox", 5) if h.id in ("d1", "d3")] == ["d1", "d3"]
+            plan = c.live()._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Sort" not in plan
+        assert [p.id for p in c.scroll().points] == ["plain", "d2", "d1", "d3", "d4"]
+        got = {p.id: p for p in c.scroll().points}
+        assert got["plain"].vector == [0.0] * 127 + [1.0] and got["d4"].sparse == {"indices": [0], "values": [1.0]}
+        assert got["d1"].vector == c.embed(texts[0][1]) and got["d1"].payload == {"_text": texts[0][1]}
+        assert c.stats()["len"] == 5 and c.stats()["tombstones"] == 8
+        c.upsert_text_df(spark.createDataFrame([("d2", "one"), ("d2", "two")], "id string, text string"))  # of equal ids one stays
+        c.delete("d3")
+        assert len(c) == 4 and c.get("d2").payload["_text"] in ("one", "two")
+        for bad in ("select '' id, 'x' text", "select 'a' id, cast(null as string) text"):
+            with pytest.raises(er.InvalidArgument):
+                c.upsert_text_df(spark.sql(bad))
+        want = {p.id: p.payload for p in c.scroll().points}
+        db.vacuum()
+        assert {p.id: p.payload for p in c.scroll().points} == want
+        v = db.create_collection("v", 2)
+        for bad in ("1, double('NaN')", "1, 1e39", "1, -1e39", "1, null", "0, -0D"):
+            with pytest.raises(er.InvalidArgument):
+                v.upsert_df(spark.sql(f"select 'x' id, cast(array({bad}) as array<float>) vector"))
