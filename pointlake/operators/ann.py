@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import metric_name, unit
-from .search import _matrix, knn, scores, top_rows
+from .search import Nearest, _matrix, knn
 
 #: Bound of the rows the cells are fitted on: those of least hash.
 TRAIN_ROWS = 100_000
@@ -22,10 +22,10 @@ SMALL = 256
 
 def fit_cells(df: DataFrame, cells: int = 64, vector: str = "vector", rounds: int = 15, rows: int = TRAIN_ROWS) -> np.ndarray:
     """(cells x dimension) centroids by Lloyd's algorithm on a bounded sample."""
-    got = df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v")).orderBy(F.xxhash64("v")).limit(rows).toArrow()["v"].to_pylist()
-    if not got:
+    got = df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v")).orderBy(F.xxhash64("v")).limit(rows).toArrow()["v"].combine_chunks()
+    if not len(got):
         return np.zeros((0, 0))
-    x = np.array(got, np.float64)
+    x = _matrix(got)
     c = x[np.random.default_rng(7).permutation(len(x))[:cells]]
     for _ in range(rounds):
         near = ((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)
@@ -77,6 +77,7 @@ def ivf_batch(celled: DataFrame, centroids: np.ndarray, queries: Sequence[Sequen
     rows = celled.where(F.col(vector).isNotNull() & F.col(cell).isin([int(c) for c in np.flatnonzero(open_.any(0))])).select(F.col(id).alias("id"), F.col(vector).alias("vector"), F.col(cell).alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = Nearest(ids, q, metric, k)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -84,13 +85,14 @@ def ivf_batch(celled: DataFrame, centroids: np.ndarray, queries: Sequence[Sequen
             if metric == "cosine":
                 n = np.sqrt((m * m).sum(1, keepdims=True))
                 m = m / np.where(n > 0, n, 1)
-            for j in range(len(q)):
-                here = np.flatnonzero(open_[j, at])
-                s = scores(m[here], q[j : j + 1], metric)[0].astype(np.float32)
-                best = top_rows(s if metric == "euclidean" else -s, b.column(0).take(pa.array(here)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[j])), b.column(0).take(pa.array(here[best])), pa.array(s[best])], names=["qid", "id", "score"])
-
-    near = rows.mapInArrow(run, f"qid bigint, id {dict(rows.dtypes)['id']}, score float")
+            for c in np.unique(at):
+                here = np.flatnonzero(at == c)
+                id = b.column(0).take(pa.array(here))
+                yield from near.add(m[here], id, id, np.flatnonzero(open_[:, c]))
+        yield from near.best(True)
+
+    kind = dict(rows.dtypes)["id"]
+    near = rows.mapInArrow(run, f"qid bigint, id {kind}, slot {kind}, score float").drop("slot")
     w = Window.partitionBy("qid").orderBy(F.col("score").asc() if metric == "euclidean" else F.col("score").desc(), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -1,8 +1,8 @@
 """Nearest neighbours, sparse search and rank fusion.
 
-Dense scoring runs in Arrow batches: one matrix product for a batch of rows and all
-queries, of which only the best k rows of the batch go on. So a shuffle moves k rows for each
-batch and query, however large the table is, and the plan ends in a top-k.
+Dense scoring runs in Arrow batches: one matrix product for a batch of rows and a block of
+queries, of which only the best k rows of the task go on. So a shuffle moves k rows for each
+task and query, however large the table is, and the plan ends in a top-k.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from ..functions.vectors import check_sparse, check_vector, metric_name, unit
 
 #: Queries that are sent to every task at once, by the bytes of their vectors.
 QUERY_BYTES = 64 << 20
+#: Pairs of a query and a row that a task scores at a time, and hits that it holds before it passes them on.
+CELLS, HELD_HITS = 1 << 20, 1 << 19
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -26,14 +29,6 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1).astype(np.float64) if len(col) else np.zeros((0, 0))
 
 
-def scores(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """(queries x rows). Cosine expects unit vectors."""
-    if metric == "euclidean":  # from the differences: no cancellation, whatever the size of a batch
-        return np.stack([np.sqrt(((rows - q) ** 2).sum(1)) for q in queries]) if len(queries) else np.zeros((0, len(rows)))
-    dots = queries @ rows.T
-    return np.clip(dots, -1.0, 1.0) if metric == "cosine" else dots
-
-
 def top_rows(key: np.ndarray, order: pa.Array, k: int) -> np.ndarray:
     """Places of the ``k`` least keys, ties by ``order``, in order."""
     top = np.arange(len(key))
@@ -42,23 +37,95 @@ def top_rows(key: np.ndarray, order: pa.Array, k: int) -> np.ndarray:
     return top[np.lexsort((order.take(pa.array(top)).to_numpy(zero_copy_only=False), key[top]))[:k]]
 
 
+class Nearest:
+    """The best ``k`` rows of each query among the batches of a task, in memory that neither the number of queries nor that of
+    rows raises beyond ``CELLS`` and ``HELD_HITS``. Under cosine rows have unit length."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, metric: str, k: int):
+        self.ids, self.q, self.metric, self.k = ids, queries, metric, k
+        self.cut = np.full(len(queries), np.inf, np.float32)  # the k-th key found so far
+        self.held: list[tuple] = []
+        self.n = 0
+
+    def _block(self, m: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``j``, row, key) of all that may be among the best; the least keys are the best."""
+        q, cut, k = self.q[j], self.cut[j].astype(np.float64), self.k
+        far, slack = q @ m.T, 0.0
+        if self.metric == "euclidean":  # squares, which cancellation makes inexact by less than the slack
+            a, b = (q * q).sum(1), (m * m).sum(1)
+            far = a[:, None] + b[None] - 2 * far
+            slack = 4e-16 * (m.shape[1] + 16) * (np.sqrt(a) + np.sqrt(b.max())) ** 2 + 1e-70
+            cut = cut * cut * (1 + 1e-6) + slack
+        else:
+            if self.metric == "cosine":
+                np.clip(far, -1.0, 1.0, out=far)
+            far = (-far).astype(np.float32)
+        ok = far <= cut[:, None]
+        if len(m) > k and np.count_nonzero(ok) > 2 * k * len(j):
+            kth = np.partition(far, k - 1, axis=1)[:, k - 1].astype(np.float64)
+            kth = np.where(np.isnan(kth), np.inf, kth)
+            if self.metric == "euclidean":
+                kth = (np.maximum(kth, 0) + slack) * (1 + 1e-6) + slack
+            ok &= far <= kth[:, None]
+        at, row = np.nonzero(ok)
+        if self.metric != "euclidean":
+            return at, row, far[at, row]
+        key, step = np.empty(len(at), np.float32), max(1, CELLS // m.shape[1])
+        for lo in range(0, len(at), step):  # from the differences: no cancellation
+            key[lo : lo + step] = np.sqrt(((m[row[lo : lo + step]] - q[at[lo : lo + step]]) ** 2).sum(1))
+        return at, row, key
+
+    def add(self, m: np.ndarray, id: pa.Array, slot: pa.Array, which: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """Rows for all queries, or for those at the places ``which``."""
+        which = np.arange(len(self.q)) if which is None else which
+        rows = min(len(m), 1 << 14)
+        for first in range(0, len(m), max(1, rows)):
+            part, step = m[first : first + rows], max(1, CELLS // rows)
+            for lo in range(0, len(which), step):
+                j = which[lo : lo + step]
+                at, row, key = self._block(part, j)
+                if len(at):
+                    take = pa.array(row + first)
+                    self.held.append((j[at], key, id.take(take), slot.take(take)))
+                    self.n += len(at)
+                if self.n > HELD_HITS:
+                    yield from self.best()
+
+    def best(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """Keep the best; pass them on at the end, or if they are many."""
+        if not self.held:
+            return
+        j, key = (np.concatenate([x[i] for x in self.held]) for i in (0, 1))
+        id, slot = (pa.concat_arrays([x[i] for x in self.held]) for i in (2, 3))
+        place = np.empty(len(j), np.int64)
+        place[pc.sort_indices(slot, null_placement="at_start").to_numpy()] = np.arange(len(j))
+        o = np.lexsort((place, key, j))
+        sorted_j = j[o]
+        nth = np.arange(len(o)) - np.searchsorted(sorted_j, sorted_j)
+        full = nth == self.k - 1
+        self.cut[sorted_j[full]] = np.minimum(self.cut[sorted_j[full]], key[o[full]])
+        o = o[nth < self.k]
+        take = pa.array(o)
+        self.held, self.n = [(j[o], key[o], id.take(take), slot.take(take))], len(o)
+        if last or self.n > HELD_HITS // 2:
+            j, key, id, slot = self.held[0]
+            self.held, self.n = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[j]), id, slot, pa.array(key if self.metric == "euclidean" else -key)], names=["qid", "id", "slot", "score"])
+
+
 def _best(queries, metric: str, k: int, unit_rows: bool):
-    """Rows (id, order, vector): (qid, id, order, score) of the best k of each batch and query."""
-    ids, q = queries
+    """Rows (id, order, vector): (qid, id, order, score) of the best k of each task and query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = Nearest(*queries, metric, k)
         for b in batches:
-            if not b.num_rows:
-                continue
-            m = _matrix(b.column(2))
-            if not unit_rows:
-                n = np.sqrt((m * m).sum(1, keepdims=True))
-                m = m / np.where(n > 0, n, 1)
-            s = scores(m, q, metric).astype(np.float32)
-            key = s if metric == "euclidean" else -s
-            for j in range(0, len(q)):
-                top = pa.array(top_rows(key[j], b.column(1), k))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), ids[j])), b.column(0).take(top), b.column(1).take(top), pa.array(s[j][top.to_numpy()])], names=["qid", "id", "slot", "score"])
+            if b.num_rows:
+                m = _matrix(b.column(2))
+                if not unit_rows:
+                    n = np.sqrt((m * m).sum(1, keepdims=True))
+                    m = m / np.where(n > 0, n, 1)
+                yield from near.add(m, b.column(0), b.column(1))
+        yield from near.best(True)
 
     return run
 

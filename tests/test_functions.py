@@ -2,8 +2,10 @@
 
 import json
 import os
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,36 @@ def test_ivf_recall(spark):
         got = {r["id"] for r in ann.ivf_search(celled, c, v[i].tolist(), 10, 4, "euclidean").collect()}
         hits.append(len(got & set(np.argsort(((v - v[i]) ** 2).sum(1))[:10].tolist())) / 10)
     assert np.mean(hits) >= 0.95
+
+
+def _peak(f) -> tuple:
+    """(what ``f`` returns, MB allocated at most meanwhile)."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def _nearest(v, q, metric, k, batches=1):
+    ids = pa.array([f"{i:05}" for i in range(len(v))])
+    rows = pa.RecordBatch.from_arrays([ids, ids, pa.array(list(v))], names=["id", "slot", "vector"])
+    step = -(-len(v) // batches)
+    out = search._best((np.arange(len(q)) * 7, q.astype(np.float64)), metric, k, metric != "cosine")(iter([rows.slice(lo, step) for lo in range(0, len(v), step)]))
+    got = [(a, s, int(i)) for b in out for a, i, s in zip(b["qid"].to_pylist(), b["id"].to_pylist(), b["score"].to_pylist())]
+    got.sort(key=lambda x: (x[0], x[1] if metric == "euclidean" else -x[1], x[2]))
+    return np.array([[x[2] for x in got if x[0] == 7 * j][:k] for j in range(len(q))]) if len(q) < 100 else got
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_many_queries_are_scored_in_bounded_memory(metric):
+    rng = np.random.default_rng(4)
+    v, q = rng.normal(size=(4000, 8)).astype(np.float32), rng.normal(size=(4000, 8))
+    out, mb = _peak(lambda: _nearest(v, q, metric, 3))
+    assert len(out) == 12_000 and mb < 100  # all pairs in double precision are 128 MB, and were there twice
+    v = rng.integers(-1, 2, (500, 3)).astype(np.float32)  # many ties, settled by the id
+    v, q = v[np.abs(v).sum(1) > 0], np.eye(3)
+    x = v / np.linalg.norm(v, axis=1, keepdims=True) if metric == "cosine" else v
+    want = [sorted(range(len(v)), key=lambda i: (-np.float32(x[i] @ y), i))[:20] for y in q]
+    for n in (1, 7):
+        assert _nearest(v, q, metric, 20, n).tolist() == want
