@@ -185,3 +185,21 @@ def test_many_queries_are_scored_in_bounded_memory(metric):
     want = [sorted(range(len(v)), key=lambda i: (-np.float32(x[i] @ y), i))[:20] for y in q]
     for n in (1, 7):
         assert _nearest(v, q, metric, 20, n).tolist() == want
+
+
+def test_euclidean_neighbours_of_many_queries_in_bounded_memory(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v, q = rng.normal(size=(4000, 8)).astype(np.float32), rng.normal(size=(4000, 8))
+    out, mb = _peak(lambda: _nearest(v, q, "euclidean", 3))
+    assert len(out) == 12_000 and mb < 100
+    for far in (0, 1e6):  # far from 0, squares lose what differences keep
+        v = (rng.integers(0, 3, (600, 3)) + far).astype(np.float32)
+        q = v[:5] + 0.25
+        want = [sorted(range(len(v)), key=lambda i: (np.float32(np.sqrt(((v[i].astype(float) - y.astype(float)) ** 2).sum())), i))[:20] for y in q]
+        for held in (search.HELD_HITS, 50):
+            monkeypatch.setattr(search, "HELD_HITS", held)
+            assert _nearest(v, q, "euclidean", 20, 7).tolist() == want
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, vector array<float>").repartition(3)
+    cells = ann.fit_cells(df, 4)
+    got = ann.ivf_batch(ann.assign(df, cells), cells, q.tolist(), 20, 4, "euclidean").orderBy("qid", "rank").collect()  # all cells are open
+    assert [[r["id"] for r in got if r["qid"] == j] for j in range(5)] == want
