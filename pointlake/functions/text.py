@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,7 +49,8 @@ def _split(text: str) -> list[str]:
 
 
 def _trim(x: str) -> str:
-    return x if x and x[0].isalnum() and x[-1].isalnum() else _PY_EDGE.sub("", x)
+    x = x.strip(string.punctuation)
+    return x if not x or x[0].isalnum() and x[-1].isalnum() else _PY_EDGE.sub("", x)
 
 
 def py_words_any(text: str) -> list[str]:

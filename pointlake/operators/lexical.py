@@ -25,8 +25,8 @@ from ..functions import text as tx
 from .search import top_rows
 
 
-#: Texts embedded at a time, and terms that a task counts before it passes them on.
-BLOCK, HELD_TERMS = 1024, 1 << 20
+#: Texts embedded at a time, texts taken from a batch at a time, and terms that a task counts before it passes them on.
+BLOCK, READ, HELD_TERMS = 1024, 128, 1 << 17
 
 
 class Embedder(ABC):
@@ -53,6 +53,13 @@ class Embedder(ABC):
         return None
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    """Texts of the first column that aren't null; few are strings at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, READ):
+            yield from b.column(0).slice(lo, READ).drop_null().to_pylist()
+
+
 def _counts(tokens: Callable[[str], list[str]], terms: bool):
     """Rows (text): (term, occurrences, texts), and for the null term (all tokens, all texts)."""
 
@@ -63,13 +70,12 @@ def _counts(tokens: Callable[[str], list[str]], terms: bool):
         def held() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([None, *cf], pa.string()), pa.array([length, *cf.values()], pa.int64()), pa.array([n, *(df[t] for t in cf)], pa.int64())], names=["term", "cf", "df"])
 
-        for b in batches:
-            for t in b.column(0).drop_null().to_pylist():
-                toks = tokens(t)
-                n, length = n + 1, length + len(toks)
-                if terms:
-                    cf.update(toks)
-                    df.update(set(toks))
+        for t in _read(batches):
+            toks = tokens(t)
+            n, length = n + 1, length + len(toks)
+            if terms:
+                cf.update(toks)
+                df.update(set(toks))
             if len(cf) > HELD_TERMS:
                 yield held()
                 cf.clear(), df.clear()

@@ -154,6 +154,20 @@ def test_ivf_recall(spark):
     assert np.mean(hits) >= 0.95
 
 
+def test_terms_are_counted_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(lexical, "HELD_TERMS", 50)
+    texts = [f"common w{i}a w{i}b, (w{i}a)" for i in range(300)] + [None]
+    out = [b.to_pylist() for b in lexical._counts(text.py_words_long, True)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))]
+    assert max(map(len, out)) <= 55  # a batch of texts was counted whole before
+    total = lambda t, key: sum(r[key] for b in out for r in b if r["term"] == t)
+    assert (total(None, "df"), total(None, "cf"), total("common", "df"), total("w7a", "cf"), total("w7a", "df")) == (300, 1200, 300, 2, 1)
+
+
+def test_edges_of_words():
+    for w in ("(word),", "«mot»", "--", "'a.b'", "x_", "_", "日本。", "**é**", "5%", "á.", ".­.", "ⓐ!", "٣)"):
+        assert text._trim(w) == text._PY_EDGE.sub("", w), w
+
+
 def _peak(f) -> tuple:
     """(what ``f`` returns, MB allocated at most meanwhile)."""
     tracemalloc.start()
