@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -42,6 +43,31 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
     return F.when(size < n, F.array(low)).otherwise(F.filter(grams, lambda g: g.isNotNull()))
 
 
+def _gram_counts(low: str, n: int) -> tuple[int, int]:
+    a = np.frombuffer(low.encode("utf-32-le"), np.uint32).astype(np.int64)
+    if len(a) < n:
+        return 1, 1
+    if n > 3:
+        return len(a) - n + 1, len({low[i : i + n] for i in range(len(a) - n + 1)})
+    size = len(a) - n + 1
+    key = a[:size].copy()
+    for j in range(1, n):  # a character has 21 bits
+        key = key << 21 | a[j : j + size]
+    key.sort()
+    return size, 1 + int(np.count_nonzero(key[1:] != key[:-1]))
+
+
+def gram_counts(text: Column, n: int = 3) -> Column:
+    """Struct (n, n_distinct) of the sizes of :func:`char_ngrams`, without making the grams; null for a null text."""
+
+    @F.pandas_udf("n bigint, n_distinct bigint")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([_gram_counts(t or "", n) for t in s], columns=["n", "n_distinct"])
+
+    return F.when(text.isNotNull(), count(F.lower(text)))
+
+
 def _split(text: str) -> list[str]:
     low = text.lower()
     # str.split() takes these four for white space, which they aren't

@@ -217,3 +217,12 @@ def test_euclidean_neighbours_of_many_queries_in_bounded_memory(spark, monkeypat
     cells = ann.fit_cells(df, 4)
     got = ann.ivf_batch(ann.assign(df, cells), cells, q.tolist(), 20, 4, "euclidean").orderBy("qid", "rank").collect()  # all cells are open
     assert [[r["id"] for r in got if r["qid"] == j] for j in range(5)] == want
+
+
+def test_grams_are_counted_without_being_made(spark):
+    texts = ["", "a", "ab", "abc", "aaaa", "AbCabc", "日本語です日本語", "😀😀😀😀", "İstanbul ΣΑΣ", None, "x" * 5000 + "y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    for n in (1, 2, 3, 4):
+        got = df.select(text.gram_counts(F.col("t"), n).alias("g")).collect()
+        want = df.select(F.size(text.char_ngrams(F.col("t"), n)), F.size(F.array_distinct(text.char_ngrams(F.col("t"), n)))).collect()
+        assert [r["g"] and tuple(r["g"]) for r in got] == [None if t is None else tuple(w) for t, w in zip(texts, want)]
