@@ -11,7 +11,7 @@ import math
 from abc import ABC, abstractmethod
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -152,12 +152,13 @@ class Lexical(Embedder):
         out = np.zeros((len(texts), self.dimension))
         get, k = self.terms.get, max(1, len(self.terms))
         for lo in range(0, len(texts), BLOCK):
-            some = [self.py_tokens(t) for t in texts[lo : lo + BLOCK]]
-            length = np.array([len(x) for x in some], np.float64)
-            place = np.fromiter(map(get, chain.from_iterable(some), repeat(-1)), np.int64, int(length.sum()))
-            row = np.repeat(np.arange(len(some)), length.astype(np.int64))
-            known = place >= 0
-            count = np.bincount(row[known] * k + place[known], minlength=len(some) * k).reshape(len(some), k)
+            some = texts[lo : lo + BLOCK]
+            length, count = np.zeros(len(some)), np.zeros((len(some), k), np.int64)
+            for i, t in enumerate(some):  # the tokens of one text at a time
+                toks = self.py_tokens(t)
+                length[i] = len(toks)
+                place = np.fromiter(map(get, toks, repeat(-1)), np.int64, len(toks))
+                count[i] = np.bincount(place + 1, minlength=k + 1)[1:]
             if self.terms:
                 w = self.weights(count, length[:, None])
                 norm = np.sqrt((w * w).sum(1, keepdims=True))
@@ -177,7 +178,8 @@ class Lexical(Embedder):
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
                 known = s.dropna()
-                yield pd.Series(list(self.matrix(known.tolist()).astype(np.float32)), known.index, object).reindex(s.index)
+                parts = [self.matrix(known.iloc[lo : lo + BLOCK].tolist()).astype(np.float32) for lo in range(0, len(known), BLOCK)]
+                yield pd.Series([v for m in parts for v in m], known.index, object).reindex(s.index)
 
         return run(text)
 
@@ -308,7 +310,7 @@ def _nearest(embedder: Lexical, q: np.ndarray, k: int):
     """Rows (id, slot, text): (id, slot, score) of the best ``k`` of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, BLOCK) for x in batches for lo in range(0, x.num_rows, BLOCK)):
             b = b.filter(b.column(2).is_valid())
             if b.num_rows:
                 s = np.clip(embedder.matrix(b.column(2).to_pylist()) @ q, -1.0, 1.0).astype(np.float32)

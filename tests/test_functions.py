@@ -219,6 +219,20 @@ def test_euclidean_neighbours_of_many_queries_in_bounded_memory(spark, monkeypat
     assert [[r["id"] for r in got if r["qid"] == j] for j in range(5)] == want
 
 
+@pytest.mark.parametrize("name", ["tfidf", "char_ngram"])
+def test_texts_are_embedded_in_bounded_memory(name):
+    e = lexical.build_provider(name, 64)
+    words = [f"w{i}" for i in range(64)]
+    e.terms, e.df, e.n_docs = {w: i for i, w in enumerate(words if name == "tfidf" else [w[:3] for w in words])}, [1] * 64, 100
+    texts = [" ".join(f"w{(i * j) % 997}" for j in range(400)) for i in range(1024)]
+    m, mb = _peak(lambda: e.matrix(texts))
+    assert mb < 12  # the tokens of 1024 texts alone took 25 and more
+    for i in (0, 1, 5, 1023):
+        toks = e.py_tokens(texts[i])
+        w = e.weights(np.array([[toks.count(t) for t in e.terms]]), np.array([[len(toks)]]))[0]
+        assert m[i] == pytest.approx(w / (np.linalg.norm(w) or 1))
+
+
 def test_grams_are_counted_without_being_made(spark):
     texts = ["", "a", "ab", "abc", "aaaa", "AbCabc", "日本語です日本語", "😀😀😀😀", "İstanbul ΣΑΣ", None, "x" * 5000 + "y"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
